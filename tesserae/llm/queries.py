@@ -10,19 +10,54 @@ from pyspark.sql import functions as F
 from .chat import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_classes
+from .language_id import language_id
 from .mixing import mix
+from .packing import pack
+from .quality_model import quality_scores
+from .quality_rules import quality_rules
+from .toxicity import toxicity_scores
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def tokenizer_files(folder: str | None = None) -> tuple[str, str]:
+    """The tokenizer's two files: in ``folder``, or where the package of public tokenizers has them."""
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    if folder:
+        return f"{folder}/{names[0]}", f"{folder}/{names[1]}"
+    import public_tokenizers
+
+    return public_tokenizers.path(names[0]), public_tokenizers.path(names[1])
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -30,8 +65,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_quality_model": op9_quality_model,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
