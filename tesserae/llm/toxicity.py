@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed byte 3-, 4- and 5-grams of its lower-cased form, each present or not.
+A text's features are the hashed byte 4-, 6- and 8-grams of its lower-cased form, each present or not.
 Training finds, for each n-gram, the log ratio of its share in toxic and in other texts; a logistic
 regression is then fitted to the features multiplied by their ratio.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, crc_mod
 
-BITS = 18
-SIZES = (3, 4, 5)
+BITS = 20
+SIZES = (4, 6, 8)
 #: Odd multipliers, one for each n-gram size.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -50,7 +50,7 @@ def _present(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["label", "weight", "slots"])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 300, penalty: float = 0.3, rate: float = 0.05, least: int = 3) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 300, penalty: float = 1.0, rate: float = 0.05, surprise: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights per slot and an intercept. Without rows of both labels: no weights, the intercept of the share."""
     size = 1 << BITS
     share = (weight[y > 0].sum() + 0.5) / (weight.sum() + 1)
@@ -62,8 +62,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int =
     toxic = np.bincount(flat, (y * 1.0)[row], size)
     other = np.bincount(flat, (1.0 - y)[row], size)
     p, q = (toxic + 0.5) / (y.sum() + 1), (other + 0.5) / ((1 - y).sum() + 1)
-    ratio = np.where(toxic + other >= least, np.log(p / q) - np.log((1 - p + 1e-9) / (1 - q + 1e-9)), 0.0)
-    ratio[np.abs(ratio) < 0.7] = 0.0  # n-grams that tell little
+    # n-grams whose count in toxic texts differs from chance by several standard deviations
+    expected = (toxic + other) * (y.sum() / len(y)) + 1e-9
+    ratio = np.where(np.abs(toxic - expected) >= surprise * np.sqrt(expected), np.log(p / q), 0.0)
     seen = ratio[flat] != 0
     flat, row = flat[seen], row[seen]
     used, flat = np.unique(flat, return_inverse=True)
@@ -106,17 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(weights: np.ndarray, intercept: float):
     def run(batches):
-        here = np.zeros(len(weights), bool)
+        last = np.zeros(len(weights), np.int32)
         for b in batches:
             for lo, hi, data, offs in chunks(b.column(1)):
                 f = np.empty(hi - lo)
                 for i, slots in enumerate(each_text(data, offs)):
-                    if len(slots) < 2000:
-                        f[i] = weights[np.unique(slots)].sum()
-                    else:
-                        here[slots] = True
-                        f[i] = weights @ here
-                        here[slots] = False
+                    place = np.arange(len(slots), dtype=np.int32)
+                    last[slots] = place  # of equal slots one place stays
+                    f[i] = weights[slots[last[slots] == place]].sum(dtype=np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(f + intercept, -35, 35))))], ["doc_id", "score"])
 
     return run
