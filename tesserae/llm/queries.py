@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_classes
+from .jaccard_join import near_duplicates
 from .language_id import language_id
 from .mixing import mix
 from .packing import pack
@@ -42,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
