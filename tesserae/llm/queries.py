@@ -14,6 +14,7 @@ from .jaccard_join import near_duplicates
 from .language_id import language_id
 from .mixing import mix
 from .packing import pack
+from .pii import pseudonymised
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .toxicity import toxicity_scores
@@ -35,6 +36,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
