@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, crc_mod
+from .common import LOWER, chunks, crc_mod, written
 
 BITS = 20
 SIZES = (4, 6, 8)
@@ -43,30 +43,43 @@ def each_text(data: np.ndarray, offs: np.ndarray):
         yield np.concatenate([s[a : max(a, b - n + 1)] for n, s in zip(SIZES, slots, strict=True)])
 
 
-def _present(batches):
+def _count(batches):
+    """(slot, toxic, other): in how many texts of either label each n-gram is."""
+    size = 1 << BITS
+    counts = np.zeros((2, size), np.int64)
     for b in batches:
-        for lo, hi, data, offs in chunks(b.column(2)):
-            rows = [np.unique(s).astype(np.int32).tobytes() for s in each_text(data, offs)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["label", "weight", "slots"])
+        labels = b.column(0).to_numpy()
+        for lo, _, data, offs in chunks(b.column(1)):
+            for label, slots in zip(labels[lo:], each_text(data, offs), strict=False):
+                counts[label, np.unique(slots)] += 1
+    at = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1, at]), pa.array(counts[0, at])], ["slot", "toxic", "other"])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 300, penalty: float = 1.0, rate: float = 0.05, surprise: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights per slot and an intercept. Without rows of both labels: no weights, the intercept of the share."""
-    size = 1 << BITS
+def _chosen(keep: np.ndarray):
+    """Each text's n-grams among those kept."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, offs in chunks(b.column(2)):
+                rows = [np.unique(s[keep[s]]).astype(np.int32).tobytes() for s in each_text(data, offs)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["label", "weight", "slots"])
+
+    return run
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, steps: int = 300, penalty: float = 3.0, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights per slot and an intercept, from each text's slots and the slots' log-count ratios.
+
+    Without rows of both labels: no weights, the intercept of the share.
+    """
     share = (weight[y > 0].sum() + 0.5) / (weight.sum() + 1)
     intercept = float(np.log(share / (1 - share)))
+    out = np.zeros(len(ratio), np.float32)
     if not len(rows) or y.min() == y.max():
-        return np.zeros(size, np.float32), intercept
+        return out, intercept
     flat = np.concatenate(rows).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    toxic = np.bincount(flat, (y * 1.0)[row], size)
-    other = np.bincount(flat, (1.0 - y)[row], size)
-    p, q = (toxic + 0.5) / (y.sum() + 1), (other + 0.5) / ((1 - y).sum() + 1)
-    # n-grams whose count in toxic texts differs from chance by several standard deviations
-    expected = (toxic + other) * (y.sum() / len(y)) + 1e-9
-    ratio = np.where(np.abs(toxic - expected) >= surprise * np.sqrt(expected), np.log(p / q), 0.0)
-    seen = ratio[flat] != 0
-    flat, row = flat[seen], row[seen]
     used, flat = np.unique(flat, return_inverse=True)
     r = ratio[used]
     value = r[flat]
@@ -82,27 +95,37 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int =
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    out = np.zeros(size, np.float32)
     out[used] = w * r
     return out, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5, sample: int = 4000) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5, sample: int = 10_000, surprise: float = 4.0) -> tuple[np.ndarray, float]:
     """Fits on at most ``sample`` rows of each label (by a hash of the id) whose crc32(id) mod ``held_out`` is not 0.
 
-    Rows are weighted by how many of their label there are. An id labelled more than once counts with
-    its largest label; null ids and labels are left out.
+    The sample's texts are counted on the executors. The driver gets the n-grams whose count in toxic
+    texts is ``surprise`` standard deviations from chance, and which of them each text has. Rows are
+    weighted by how many of their label there are. An id labelled more than once counts with its
+    largest label; null ids and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (crc_mod(F.col("doc_id"), held_out) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     order = [F.xxhash64("_id"), F.col("_id")]
     parts = [known.where(F.col("_label") == k).orderBy(*order).limit(sample).withColumn("_weight", F.lit(max(1.0, counts.get(k, 0) / sample))) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("_id")).select("_label", "_weight", F.col(text_col).cast("string"))
-    got = rows.mapInArrow(_present, "label int, weight double, slots binary").toArrow()
+    chosen = parts[0].unionByName(parts[1])  # two times the sample at most
+    texts = written(docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("_id")).select(F.col("_label").alias("label"), F.col("_weight").alias("weight"), F.col(text_col).cast("string").alias("text")), "toxicity-sample")
+    size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    ratio = np.zeros(1 << BITS, np.float64)
+    if n1 and n0:
+        grams = texts.select("label", "text").mapInArrow(_count, "slot long, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        expected = (F.col("toxic") + F.col("other")) * F.lit(n1 / (n1 + n0))
+        told = grams.where(F.abs(F.col("toxic") - expected) >= F.lit(surprise) * F.sqrt(expected)).toArrow()
+        p, q = (told.column("toxic").to_numpy() + 0.5) / (n1 + 1), (told.column("other").to_numpy() + 0.5) / (n0 + 1)
+        ratio[told.column("slot").to_numpy()] = np.log(p / q)
+    got = texts.mapInArrow(_chosen(ratio != 0), "label int, weight double, slots binary").toArrow()
     slots = [np.frombuffer(s, np.int32) for s in got.column("slots").to_pylist()]
-    return fit(slots, got.column("label").to_numpy().astype(np.float64), got.column("weight").to_numpy().astype(np.float64))
+    return fit(slots, got.column("label").to_numpy().astype(np.float64), got.column("weight").to_numpy().astype(np.float64), ratio)
 
 
 def _score(weights: np.ndarray, intercept: float):
@@ -120,7 +143,7 @@ def _score(weights: np.ndarray, intercept: float):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 4000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Only the text decides a score; a null text is an empty one and has a score too. A null id is not
