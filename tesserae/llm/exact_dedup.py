@@ -46,9 +46,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of docs, all columns, whose text no row with a larger id equals.
+    """One row of docs, all columns, of each group of equal texts: one with the group's largest id.
 
-    Rows with a repeated id are one row's repeats: one of them stays where the id wins.
+    Of rows that repeat that id and text, one stays.
     """
-    kept = exact_classes(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    kept = exact_classes(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    keyed = docs.withColumn("_own_sha", F.sha2(normalised(F.col(text_col)), 256))
+    found = keyed.join(kept, (F.col("_own_sha") == F.col("_kept_sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return found.dropDuplicates(["_own_sha"]).drop("_own_sha")

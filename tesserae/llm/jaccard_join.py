@@ -3,7 +3,7 @@
 A document's set has its distinct word shingles. Two sets link at Jaccard similarity 0.75 or more.
 
 1. Equal sets are one vertex, represented by the smallest id.
-2. Shingles are ordered by how often they occur (a fixed-size count sketch, rounded, then the hash), rare
+2. Shingles are ordered by how often they occur (by a count sketch of fixed size, then the hash), rare
    first. Two sets that link share a shingle among the first n // 4 + 1 of each, so only those are
    posted; postings whose shingle no other set posts are dropped where they meet.
 3. Answer skipping. In hub rounds each posting list picks one set that posts many shared shingles, and
@@ -57,11 +57,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _scan(batches):
-    """Rows (0, id, set, size) for texts, and (1, slot, count, 0) for the sketch."""
+    """Rows (0, id, set, size, key) for texts, and (1, slot, count, 0, 0) for the sketch."""
     counts, seen = np.zeros(SKETCH, np.int64), set()
-    names = ["kind", "a", "b", "c"]
+    names = ["kind", "a", "b", "c", "d"]
     for batch in batches:
-        for lo, hi, data, offs in chunks(batch.column(1)):
+        for lo, hi, data, offs in chunks(batch.column(2)):
             keys, sizes = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
             for i, s in enumerate(shingle_sets(data, offs)):
                 keys[i], sizes[i] = set_id(s), len(s)
@@ -70,9 +70,9 @@ def _scan(batches):
                     np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             if len(seen) > _SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), batch.column(0).slice(lo, hi - lo), pa.array(keys), pa.array(sizes)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), batch.column(0).slice(lo, hi - lo), pa.array(keys), pa.array(sizes), batch.column(1).slice(lo, hi - lo)], names)
     at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(np.zeros(len(at), np.int64))], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64))], names)
 
 
 def _post(rank: np.ndarray, heavy: int):
@@ -223,7 +223,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(hub, id): in each list that more than one component shares, its hub and the sets of other components."""
+    """(hub, id): each list's hub and its sets of other components."""
     spread = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     lists = lists.join(spread, "token")
     first = F.col("posts").cast("long") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
@@ -267,16 +267,16 @@ def _derive(pairs: DataFrame, compared: DataFrame, sizes: DataFrame) -> tuple[Da
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, text_key (a hash of the text).
 
     component_id is the smallest id that links reach, the row's own if there is none. A null or empty
     text, or one without words, has no shingles and no link. A text of fewer than five words links with
     equal word sequences only. Rows that repeat an id are texts of their own. A row without an id has
-    no component. An empty table gives an empty result; other columns are not read.
+    no component and joins nothing. An empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = written(source.mapInArrow(_scan, "kind tinyint, a long, b long, c long"), "join-scan")
-    rows = scanned.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("c").alias("n"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    scanned = written(source.mapInArrow(_scan, "kind tinyint, a long, b long, c long, d long"), "join-scan")
+    rows = scanned.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("c").alias("n"), F.col("d").alias("key"))
     counts = np.zeros(SKETCH, np.int64)
     got = scanned.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()  # at most SKETCH rows
     counts[got.column("a").to_numpy()] = got.column("n").to_numpy()
@@ -286,12 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = source.select("text").mapInArrow(_post(rank, heavy), "token long, set long, place long, salt int")
     met = posts.repartition("token", "salt").sortWithinPartitions("token", "set", "place").mapInArrow(_shared, "token long, set long, place long")
     met = written(met, "join-posts")
-    classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min("id").alias("id"))
+    classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min("id").alias("least"))
     lists = met.select("token", "set", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"))
     used = lists.groupBy("set", "n").agg(F.count(F.lit(1)).alias("posts")).join(classes, ["set", "n"])
-    used = written(used, "join-used")
+    used = written(used.withColumn("id", F.monotonically_increasing_id()), "join-used")  # a class's number
     lists = written(lists.join(used, ["set", "n"]).select("token", "id", "n", "pos", "posts"), "join-lists")
-    asked = _among(source.withColumnRenamed("text", "_text"), "id", used.select("id")).join(used.select("id", "set", "n"), "id").select("set", "n", "id", F.col("_text").alias("text"))
+    asked = _among(source.select(F.col("id").alias("least"), "text"), "least", used.select(F.col("least").alias("id")))
+    asked = asked.join(used.select("least", "set", "n", "id"), "least").select("set", "n", "id", "text")
     texts = written(asked.mapInArrow(_texts_of(["id", "text"]), "id long, text string").dropDuplicates(["id"]), "join-texts")
 
     sizes = used.select("id", "n")
@@ -313,14 +314,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = more.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub").where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     comps = components(sizes.select("id"), edges.unionByName(sure).unionByName(found))
 
-    # Only classes that have joined another one have a component that is not their own smallest id.
-    of_class = classes.join(comps, "id", "left").select("set", "n", F.coalesce("comp", "id").alias("comp"))
+    # A component's name is the smallest id of its classes; a class that shares no shingle is one by itself.
+    comps = written(comps.join(used.select("id", "set", "n", "least"), "id"), "join-comps")
+    names = comps.groupBy("comp").agg(F.min("least").alias("name"))
+    of_class = classes.join(comps.join(names, "comp").select("set", "n", "name"), ["set", "n"], "left").select("set", "n", F.coalesce("name", "least").alias("name"))
     out = rows.join(of_class, ["set", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("comp")), F.col("id"))).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("name")), F.col("id"))).alias("component_id"), F.col("key").alias("text_key"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs' rows, all columns, one of each component (the smallest id), and all rows without an id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    """docs' rows, all columns, one document of each component.
+
+    That is the smallest id; if that id has several texts in the component, the one of the smallest
+    hash. Rows that repeat an id and a text are one document. Rows without an id or without words stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where("doc_id is not null and n_shingles > 0")
+    own = found.where("doc_id = component_id")
+    first = own.groupBy("doc_id").agg(F.min("text_key").alias("_first"))
+    other = found.where("doc_id <> component_id").select("doc_id", "text_key").unionByName(own.join(first, "doc_id").where("text_key <> _first").select("doc_id", "text_key"))
+    gone = other.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_key")), "left_anti")

@@ -98,8 +98,8 @@ def _cut(files: tuple[str, str], size: int, end: int):
     def run(batches):
         encoder = Encoder(*files)
         for b in batches:
-            ids_of = b.column(0).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(b.column(0).is_null())
+            ids_of = b.column(0).fill_null(0).to_numpy()
+            unknown = b.column(0).is_null().to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in chunks(b.column(1)):
                 ids, bounds = encoder.encode(data, offs)
                 n = np.diff(bounds) + 1
@@ -115,7 +115,7 @@ def _cut(files: tuple[str, str], size: int, end: int):
                 at = first[doc] + start
                 raw = memoryview(tokens).cast("B")
                 crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
-                ids_now = pa.array(ids_of[lo:hi][doc].astype(np.int64) if known.all() else np.where(known[lo:hi], ids_of[lo:hi], 0)[doc].astype(np.int64), mask=None if known.all() else ~known[lo:hi][doc])
+                ids_now = pa.array(ids_of[lo:hi][doc], mask=unknown[lo:hi][doc])
                 yield pa.RecordBatch.from_arrays([ids_now, pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc), pa.array(n[doc].astype(np.int64))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run

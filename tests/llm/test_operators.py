@@ -124,6 +124,26 @@ def test_jaccard_join_chains_and_hubs(spark):
     assert got == brute_components(rows)
 
 
+def test_repeated_and_missing_ids(spark):
+    """Texts that share an id are apart; rows without an id are whole rows of every operator's result."""
+    rows = [(1, prose(1, 50)), (5, prose(2, 50)), (5, prose(1, 50) + " x"), (None, prose(1, 50)), (None, prose(7, 50)), (None, None), (5, prose(2, 50))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 5), (5, 5), (5, 1), (None, None), (None, None), (None, None)], key=str)
+    kept = jaccard_join.deduplicated(df).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "")[-9:]) for r in kept), key=str) == sorted([(i, (t or "")[-9:]) for k, (i, t) in enumerate(rows) if k != 2], key=str)
+    kept = exact_dedup.exact_dedup(df).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=str)
+    assert packing.pack(df, *tokenizer_files()).where("doc_id is null").count() == 3
+    assert quality_rules.quality_rules(df).where("doc_id is null").count() == 3
+    assert mixing.mix(df).where("doc_id is null").count() == 3
+    assert pii.pseudonymised(df).where("doc_id is null").count() == 3
+    assert language_id.language_id(df).where("doc_id is null and not held_out").count() == 3
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_scores(df, labels).where("doc_id is null and not held_out").count() == 3
+    assert quality_model.quality_scores(df, labels).where("doc_id is null and not held_out").count() == 3
+
+
 def test_long_lists_keep_their_postings():
     """A list longer than a batch's keep-back loses none of its rows."""
     import numpy as np
