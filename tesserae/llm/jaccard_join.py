@@ -29,6 +29,7 @@ from .common import LOWER, chunks, mix64, span_hashes, windows, word_spans, writ
 
 WORDS = 5
 SKETCH = 1 << 18
+OCTAVE = 1600  # steps of a shingle's rank for each doubling of its slot's count
 _SHORT = np.uint64(0x5DEECE66D1F2A3B7)
 _SEEN = 1 << 20  # sets remembered by a task to leave out its repeats; forgetting costs time only
 
@@ -88,7 +89,7 @@ def _post(rank: np.ndarray, heavy: int):
                     if not len(s) or key in seen:
                         continue
                     seen.add(key)
-                    t = np.sort((rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6)))[: len(s) // 4 + 1]
+                    t = np.sort((rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16)))[: len(s) // 4 + 1]
                     out.append((t, key, len(s)))
                 if len(seen) > _SEEN:
                     seen.clear()
@@ -99,7 +100,7 @@ def _post(rank: np.ndarray, heavy: int):
                 sets = np.repeat(np.array([s for _, s, _ in out], np.int64), k)
                 place = (np.repeat(np.array([n for _, _, n in out], np.int64), k) << 32) | np.concatenate([np.arange(x) for x in k])
                 # A list that may be long is spread; its shingles are common, so they need not meet to be kept.
-                salt = np.where(token >> np.uint64(58) >= np.uint64(heavy), 1 + (sets & 255), 0).astype(np.int32)
+                salt = np.where(token >> np.uint64(48) >= np.uint64(heavy), 1 + (sets & 255), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sets), pa.array(place), pa.array(salt)], ["token", "set", "place", "salt"])
 
     return run
@@ -222,10 +223,15 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The lists that more than one component shares, with the sets' components."""
+    lists = lists.join(comps, "id")
+    spread = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    return written(lists.join(spread, "token"), "join-open")
+
+
 def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """(hub, id): each list's hub and its sets of other components."""
-    spread = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    lists = lists.join(spread, "token")
     first = F.col("posts").cast("long") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
     hub = lists.groupBy("token").agg(F.max(F.struct(first.alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "_h.*")
     pairs = lists.join(hub, "token").where("comp <> hub_comp and 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
@@ -280,8 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = np.zeros(SKETCH, np.int64)
     got = scanned.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()  # at most SKETCH rows
     counts[got.column("a").to_numpy()] = got.column("n").to_numpy()
-    rank = np.minimum(63, np.floor(2 * np.log2(counts + 1))).astype(np.uint64)
-    heavy = min(63, int(rank.mean()) + 24)  # lists some 4,000 times as long as a slot's usual count
+    rank = np.minimum(65535, np.floor(OCTAVE * np.log2(counts + 1))).astype(np.uint64)
+    heavy = min(65535, int(rank.mean()) + 12 * OCTAVE)  # lists some 4,000 times as long as a slot's usual count
 
     posts = source.select("text").mapInArrow(_post(rank, heavy), "token long, set long, place long, salt int")
     met = posts.repartition("token", "salt").sortWithinPartitions("token", "set", "place").mapInArrow(_shared, "token long, set long, place long")
@@ -296,10 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(asked.mapInArrow(_texts_of(["id", "text"]), "id long, text string").dropDuplicates(["id"]), "join-texts")
 
     sizes = used.select("id", "n")
-    comps = used.select("id").withColumn("comp", F.col("id"))
+    lists = lists.withColumn("comp", F.col("id"))
     compared = edges = None
     for turn in range(hub_rounds):
-        pairs = written(_hub_pairs(lists.join(comps, "id"), turn), "join-hubs")
+        pairs = written(_hub_pairs(lists, turn), "join-hubs")
         if compared is not None:
             pairs = pairs.join(compared.select("hub", "id"), ["hub", "id"], "left_anti")
         more = written(compare(pairs, texts), "join-overlaps")
@@ -308,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = more.join(sizes, "id").join(n_hub, "hub").where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
         comps = written(components(sizes.select("id"), edges), "join-comps")
-    pairs = written(_block_pairs(lists.join(comps, "id")), "join-blocks")
+        lists = _open_lists(lists.drop("comp"), comps)
+    pairs = written(_block_pairs(lists), "join-blocks")
     sure, open_pairs = _derive(pairs, compared, sizes)
     more = compare(open_pairs, texts)
     found = more.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub").where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
