@@ -145,7 +145,7 @@ def _pick(rows: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _texts_of(names: list[str]):
-    """Keeps the texts whose set is the one asked for: (set, size, id, text) -> (id, text), once each."""
+    """Keeps the texts whose set is the one asked for: (set, size, id, text) -> (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -199,7 +199,7 @@ def compare(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFram
     members = pairs.join(texts, "id").select("hub", "salt", F.lit(1).alias("role"), "id", "text")
     hubs = pairs.select(F.col("hub").alias("id"), "salt").distinct().join(texts, "id").select(F.col("id").alias("hub"), "salt", F.lit(0).alias("role"), "id", "text")
     rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return rows.mapInArrow(_overlaps, "hub long, id long, overlap long")
+    return rows.mapInArrow(_overlaps, "hub long, id long, overlap long").distinct()  # repeated rows have repeated texts
 
 
 def linked(overlap, n1, n2):
@@ -231,11 +231,15 @@ def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(hub, id): each list's hub and its sets of other components."""
+    """(hub, id): for each set, of the hubs of its lists and of other components, the one of most lists.
+
+    Links that this leaves out are found by the blocks.
+    """
     first = F.col("posts").cast("long") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
     hub = lists.groupBy("token").agg(F.max(F.struct(first.alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "_h.*")
     pairs = lists.join(hub, "token").where("comp <> hub_comp and 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
-    return pairs.select("hub", "id").distinct()
+    met = pairs.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("lists"))
+    return met.groupBy("id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).select("hub", "id")
 
 
 def _block_pairs(lists: DataFrame) -> DataFrame:
@@ -299,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(lists.join(used, ["set", "n"]).select("token", "id", "n", "pos", "posts"), "join-lists")
     asked = _among(source.select(F.col("id").alias("least"), "text"), "least", used.select(F.col("least").alias("id")))
     asked = asked.join(used.select("least", "set", "n", "id"), "least").select("set", "n", "id", "text")
-    texts = written(asked.mapInArrow(_texts_of(["id", "text"]), "id long, text string").dropDuplicates(["id"]), "join-texts")
+    texts = written(asked.mapInArrow(_texts_of(["id", "text"]), "id long, text string"), "join-texts")  # repeats of a row too
 
     sizes = used.select("id", "n")
     lists = lists.withColumn("comp", F.col("id"))
