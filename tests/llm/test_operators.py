@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,3 +400,45 @@ def test_pipeline(spark):
     for r in seen["packing"].collect():
         total[r["doc_id"]] += r["length"]
     assert all(total[i] == n * tokens[i] for i, n in mixed.items())
+
+
+def test_toxicity_grams_are_known_by_their_bytes():
+    texts = [b"", b"abc", b"ABCD" + b"x" * 2000 + b"abcdefgh", b"abcd\0\0\0\0", b"q" * 505 + b"abcdefgh" + b"q" * 600, b"bcdefgh" * 400]
+    grams = [(4, b"abcd"), (6, b"cdefgh"), (8, b"abcdefgh"), (8, b"abcd\0\0\0\0"), (8, b"hbcdefgh")]
+    keys = sorted((n, int.from_bytes(g, "little"), g) for n, g in grams)
+    kept = toxicity.Kept(np.array([k[0] for k in keys]), np.array([k[1] for k in keys], np.uint64))
+    first, window, feature = kept.windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    want, begin = set(), [0]
+    for t in texts:
+        low = t.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+        blocks = -(-len(t) // toxicity.BLOCK)
+        for w in range(max(1, blocks - 1)):
+            part = range(w * toxicity.BLOCK, (w + 2) * toxicity.BLOCK)  # where n-grams begin
+            want |= {(begin[-1] + w, f) for f, (n, _, g) in enumerate(keys) for a in part if low[a : a + n] == g}
+        begin.append(begin[-1] + max(1, blocks - 1))
+    assert first.tolist() == begin and set(zip(window.tolist(), feature.tolist(), strict=True)) == want and len(window) == len(want)
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+def test_toxicity_of_long_texts(spark):
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    held = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect() if r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    clean = [r["text"] for r in held if r["toxic"] == 0]
+    passage = "you pathetic loser, what a worthless idiot and moron; stupid trash, disgusting scum, clown"
+    made, at = {}, 0
+    for size in (5000, 20_000, 100_000):
+        for k in range(4):
+            parts, n = [], 0
+            while n < size:
+                parts.append(clean[at % len(clean)])
+                n += len(parts[-1].split())
+                at += 7
+            made[-1000 - len(made)] = ("\n".join(parts), 0)
+            parts.insert(len(parts) * k // 3, passage)
+            made[-1000 - len(made)] = ("\n".join(parts), 1)
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, (t, _) in made.items()], "doc_id long, text string"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(rows, labels).where("doc_id <= -1000").collect()}
+    assert got == {i: y for i, (_, y) in made.items()}
