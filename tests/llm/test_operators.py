@@ -442,3 +442,18 @@ def test_toxicity_of_long_texts(spark):
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, (t, _) in made.items()], "doc_id long, text string"))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(rows, labels).where("doc_id <= -1000").collect()}
     assert got == {i: y for i, (_, y) in made.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+def test_toxicity_held_out_by_length(spark):
+    import corpus_pipeline
+
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    scored = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    length = {r["doc_id"]: len(words(r["text"])) for r in docs.collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if scored[r["doc_id"]]["held_out"]}
+    for lo, hi, recall in ((0, 300, 0.8), (300, 10**9, 0.9)):  # some short texts labelled toxic have no toxic word
+        found = {k: [scored[i]["predicted"] for i, y in truth.items() if y == k and lo <= length[i] < hi] for k in (0, 1)}
+        assert len(found[1]) >= 30 and np.mean(found[1]) >= recall and np.mean(found[0]) <= 0.01
+    stage = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, LARGER).select("doc_id").collect()}
+    assert stage == {i for i, r in scored.items() if not r["predicted"]}
