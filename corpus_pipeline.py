@@ -19,11 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject.
 
-    Rejected ids go with all their rows. Rows without an id have no score of their own to join by and stay.
+    Each row follows the score of its own id and text, rows without an id too.
     """
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_bad"], "left_anti").select(*COLUMNS)
+    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"), text_key=True)
+    rejected = scores.where("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
+    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(rejected["_bad"]) & (F.xxhash64(docs["text"]) == rejected["_bad_key"]), "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

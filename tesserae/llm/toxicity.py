@@ -192,19 +192,19 @@ def _score(kept: Kept, weights: np.ndarray, intercept: float):
             for lo, hi, data, offs in chunks(b.column(1)):
                 first, window, feature = kept.windows(data, offs)
                 f = intercept + np.maximum.reduceat(np.bincount(window, weights[feature], first[-1]), first[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(f, -35, 35))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(f, -35, 35)))), b.column(2).slice(lo, hi - lo)], ["doc_id", "score", "text_key"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 10_000, text_key: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted; with ``text_key`` also a hash of the text.
 
     Only the text decides a score, by its most toxic window; a null text is an empty one and has a
     score too. A null id is not held out. Repeated rows are scored one by one, an empty table gives an
     empty result, other columns are not read.
     """
     kept, weights, intercept = train(docs, labels, id_col, text_col, held_out=held_out, sample=sample)
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = cols.mapInArrow(_score(kept, weights, intercept), "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    out = cols.mapInArrow(_score(kept, weights, intercept), "doc_id long, score double, text_key long")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["text_key"] * text_key)

@@ -457,3 +457,15 @@ def test_toxicity_held_out_by_length(spark):
         assert len(found[1]) >= 30 and np.mean(found[1]) >= recall and np.mean(found[0]) <= 0.01
     stage = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, LARGER).select("doc_id").collect()}
     assert stage == {i for i, r in scored.items() if not r["predicted"]}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_toxicity_stage_follows_each_row(spark):
+    import corpus_pipeline
+
+    bad, good = "you pathetic loser, what a worthless idiot and moron; stupid trash, disgusting scum, clown", prose(4, 40)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    own = [(None, bad), (None, good), (-5, bad), (-5, good), (-6, good), (-7, bad), (None, None)]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", "own", 0) for i, t in own], docs.schema))
+    kept = corpus_pipeline.drop_toxic(spark, rows, DATA).where("source = 'own'").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(x for x in own if x[1] != bad)
