@@ -7,6 +7,11 @@ for all documents, so equal values stay linked, also where they are written with
 
 The network adds, character by character, a stream from SHA-256 over key, format, round and the other
 half, so each round can be undone and every format's values are permuted among themselves.
+
+Formats that are not found and stay in the text: slash and dot dates with the month first (12/25/2024),
+years outside 1900 to 2099 and one-digit days or months; card numbers with separators in groups other
+than 4-4-4-4 (4-6-5); phones without a hyphen before the last four digits (555 123 4567, 555.123.4567)
+or with groups other than 3-3-4.
 """
 
 from __future__ import annotations
