@@ -132,9 +132,11 @@ def char_lengths(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-scratch-")
@@ -142,21 +144,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: short lineage, same rows for each reader."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _forget(spark, path)
-    return spark.read.schema(schema).parquet(path)
+class Scratch:
+    """Intermediate tables of one run, in a shared folder that goes when the session ends at the latest."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.paths: list[tuple[DataFrame, str]] = []
+        self.files.deleteOnExit(self._path(self.folder))
+
+    def _path(self, at: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
 
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, written and read back: short lineage, same rows for each reader."""
+        path, schema = f"{self.folder}/{name}-{len(self.paths)}", df.schema
+        df.write.parquet(path)
+        self.paths.append((out := self.spark.read.schema(schema).parquet(path), path))
+        return out
 
-def _forget(spark: SparkSession, path: str) -> None:
-    """Deletes the table when the session ends."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    def drop(self, *spent: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df, path in self.paths:
+            if any(df is x for x in spent):
+                self.files.delete(self._path(path), True)
+
+    def keep(self, *needed: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(df for df, _ in self.paths if not any(df is x for x in needed)))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read back; the table goes when the session ends."""
+    return Scratch(df.sparkSession, name).put(df, "rows")
 
 
 def crc_mod(column, n: int):
@@ -166,5 +186,3 @@ def crc_mod(column, n: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-

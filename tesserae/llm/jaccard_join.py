@@ -3,15 +3,19 @@
 A document's set has its distinct word shingles. Two sets link at Jaccard similarity 0.75 or more.
 
 1. Equal sets are one vertex, represented by the smallest id.
-2. Shingles are ordered by how often they occur (by a count sketch of fixed size, then the hash), rare
-   first. Two sets that link share a shingle among the first n // 4 + 1 of each, so only those are
-   posted; postings whose shingle no other set posts are dropped where they meet.
-3. Answer skipping. In hub rounds each posting list picks one set that posts many shared shingles, and
-   its other sets are compared with that hub only. Sets whose components have met by then need no more
+2. Shingles are ordered by how common they are (by a count sketch of fixed size, then the hash), rare ones
+   first. A set posts its first ``prefix(n) = n // 4 + 1 + n // EXTRA`` shingles. Two sets that link share at
+   least ``1 + n // EXTRA`` of them, for either size n: of the set whose prefix ends first, every shared
+   shingle is posted by both, and only ``n - prefix(n)`` can follow. So a posting without another set of
+   fitting size in its list is dropped, and then a set with too few postings. Of those left, the first
+   ``n // 4 + 1`` are enough to find each link.
+3. Answer skipping. In a hub round each posting list (of a size class) picks one set, and each set is
+   compared with the hub of most of its lists. Sets whose components have met by then need no more
    comparison: the hub's answers hold for them.
 4. Block skipping. What is left of a list is cut into blocks by set size and by position. Pairs of
-   blocks that cannot hold a link (sizes too far apart, too few shingles after the position, or all in
-   one component) are skipped as a whole; the sets of the others are paired.
+   blocks that cannot hold a link (sizes too far apart, too few shingles from the position on, or all in
+   one component) are skipped as a whole; the sets of the others are paired. If the blocks would pair many
+   more sets than there are postings, another hub round comes first, as long as rounds help.
 5. A pair (y, z) left is derived from y's hub x, if (x, z) has been compared: the overlap of y and z lies
    between |x & z| - |x - y| and |x & z| + |y - x|. Only what that leaves open is compared itself.
 
@@ -22,16 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, mix64, span_hashes, windows, word_spans, written
+from .common import LOWER, Scratch, chunks, mix64, span_hashes, windows, word_spans
 
 WORDS = 5
-SKETCH = 1 << 18
+SKETCH = 1 << 19
 OCTAVE = 1600  # steps of a shingle's rank for each doubling of its slot's count
+EXTRA = 10  # a set posts n // EXTRA more shingles than a prefix filter needs, so that it can count them
+LONG = 1 << 16  # lists that may be longer are spread over tasks
 _SHORT = np.uint64(0x5DEECE66D1F2A3B7)
-_SEEN = 1 << 20  # sets remembered by a task to leave out its repeats; forgetting costs time only
+_SEEN = 1 << 16  # sets remembered by a task to leave out its repeats; forgetting costs time only
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS):
@@ -57,105 +63,93 @@ def set_id(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def prefix(n):
+    """How many of its n shingles a set posts."""
+    return n // 4 + 1 + n // EXTRA
+
+
+def slots(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
 def _scan(batches):
-    """Rows (0, id, set, size, key) for texts, and (1, slot, count, 0, 0) for the sketch."""
-    counts, seen = np.zeros(SKETCH, np.int64), set()
+    """Rows (0, id, set, size, key) for texts; (1, slot, count, 0, 0) for slots that stand out; (2, 0, all, 0, 0)."""
+    counts = np.zeros(SKETCH, np.int64)
     names = ["kind", "a", "b", "c", "d"]
     for batch in batches:
         for lo, hi, data, offs in chunks(batch.column(2)):
             keys, sizes = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+            found = []
             for i, s in enumerate(shingle_sets(data, offs)):
-                keys[i], sizes[i] = set_id(s), len(s)
-                if len(s) and keys[i] not in seen:
-                    seen.add(int(keys[i]))
-                    np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            if len(seen) > _SEEN:
-                seen.clear()
+                if len(s):
+                    keys[i], sizes[i] = set_id(s), len(s)
+                    found.append(s)
+            if found:
+                counts += np.bincount(slots(np.concatenate(found)), minlength=SKETCH)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int8)), batch.column(0).slice(lo, hi - lo), pa.array(keys), pa.array(sizes), batch.column(1).slice(lo, hi - lo)], names)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64))], names)
+    mean = counts.mean()
+    at = np.flatnonzero(counts > mean + np.sqrt(mean))
+    zero = np.zeros(len(at) + 1, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 1), 2).astype(np.int8)), pa.array(np.append(at, 0)), pa.array(np.append(counts[at], counts.sum())), pa.array(zero), pa.array(zero)], names)
 
 
 def _post(rank: np.ndarray, heavy: int):
-    """Rows (token, set, size, position, salt) of each set's first size // 4 + 1 shingles, rare first."""
+    """Rows (token, set, place, salt) of each set's first shingles, rare ones first; place has size and position."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0)):
-                out = []
+                tokens, sets, sizes, ranks = [], [], [], []
                 for s in shingle_sets(data, offs):
                     key = set_id(s)
                     if not len(s) or key in seen:
                         continue
                     seen.add(key)
-                    t = np.sort((rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16)))[: len(s) // 4 + 1]
-                    out.append((t, key, len(s)))
+                    r = rank[slots(s)]
+                    first = np.argsort((r.astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16)))[: prefix(len(s))]
+                    tokens.append(s[first])
+                    ranks.append(r[first])
+                    sets.append(key)
+                    sizes.append(len(s))
                 if len(seen) > _SEEN:
                     seen.clear()
-                if not out:
+                if not tokens:
                     continue
-                k = [len(t) for t, _, _ in out]
-                token = np.concatenate([t for t, _, _ in out])
-                sets = np.repeat(np.array([s for _, s, _ in out], np.int64), k)
-                place = (np.repeat(np.array([n for _, _, n in out], np.int64), k) << 32) | np.concatenate([np.arange(x) for x in k])
+                k = [len(t) for t in tokens]
+                which = np.repeat(np.array(sets, np.int64), k)
+                place = (np.repeat(np.array(sizes, np.int64), k) << 32) | np.concatenate([np.arange(x) for x in k])
                 # A list that may be long is spread; its shingles are common, so they need not meet to be kept.
-                salt = np.where(token >> np.uint64(48) >= np.uint64(heavy), 1 + (sets & 255), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sets), pa.array(place), pa.array(salt)], ["token", "set", "place", "salt"])
+                salt = np.where(np.concatenate(ranks) >= heavy, 1 + (which & 255), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(which), pa.array(place), pa.array(salt)], ["token", "set", "place", "salt"])
 
     return run
 
 
 def _shared(batches):
-    """Of rows sorted by token and set: those whose token has two sets or a salt, once per set."""
+    """Of rows sorted by token, place and set: those with a salt or a neighbour of fitting size, once per set.
+
+    In a list sorted by size, a set's nearest neighbours fit if any other set does, so a row is judged by the
+    rows before and after it. One row is kept back between batches.
+    """
     names = ["token", "set", "place"]
-    rest = None
+    rest, fits_last = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)], False
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(4)]
-        if rest is not None:
-            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-        last = int(np.searchsorted(rows[0], rows[0][-1], "left")) if len(rows[0]) else 0
-        if len(rows[0]) - last > 1 << 16:  # a long list: its rows can go, one of them stays to meet the next
-            last = len(rows[0]) - 1
-            done = _pick([x[: last + 1] for x in rows])
-            if len(done[0]) and done[0][-1] == rows[0][last] and done[1][-1] == rows[1][last]:
-                done = [x[:-1] for x in done]
-            rows[3] = np.append(rows[3][:-1], np.int32(1))  # stays in any case
-        else:
-            done = _pick([x[:last] for x in rows])
-        rest = [x[last:] for x in rows]
-        if len(done[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
-    if rest is not None and len(rest[0]):
-        done = _pick(rest)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
-
-
-def _pick(rows: list[np.ndarray]) -> list[np.ndarray]:
-    token, sets, place, salt = rows
-    if not len(token):
-        return [token, sets, place]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (sets[1:] != sets[:-1]) | (place[1:] >> 32 != place[:-1] >> 32)
-    token, sets, place, salt = token[new], sets[new], place[new], salt[new]
-    same = np.zeros(len(token) + 1, bool)
-    same[1:-1] = token[1:] == token[:-1]
-    keep = same[1:] | same[:-1] | (salt > 0)
-    return [token[keep], sets[keep], place[keep]]
-
-
-def _texts_of(names: list[str]):
-    """Keeps the texts whose set is the one asked for: (set, size, id, text) -> (id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offs in chunks(batch.column(3)):
-                sets, sizes = batch.column(0).slice(lo, hi - lo).to_numpy(), batch.column(1).slice(lo, hi - lo).to_numpy()
-                fine = np.fromiter((len(s) == n and set_id(s) == k for s, k, n in zip(shingle_sets(data, offs), sets.tolist(), sizes.tolist(), strict=True)), bool, hi - lo)
-                at = pa.array(np.flatnonzero(fine) + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at)], names)
-
-    return run
+        rows = [np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate(rest)]
+        if not len(rows[0]):
+            continue
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = np.any([rows[i][1:] != rows[i][:-1] for i in range(3)], axis=0)
+        token, sets, place, salt = (x[new] for x in rows)
+        n = place >> 32
+        near = (token[1:] == token[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+        keep = np.concatenate(([fits_last], near)) | np.append(near, False) | (salt > 0)
+        rest, fits_last = [token[-1:], sets[-1:], place[-1:], salt[-1:]], bool(keep[-1])
+        keep[-1] = False
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, sets, place)], names)
+    if fits_last:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rest[:3]], names)
 
 
 def _overlaps(batches):
@@ -163,14 +157,15 @@ def _overlaps(batches):
     key, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         hubs, salts, roles, ids = (batch.column(i).to_numpy() for i in range(4))
-        out = []
+        overlap = np.full(len(ids), -1, np.int64)
         for lo, _, data, offs in chunks(batch.column(4)):
             for i, s in enumerate(shingle_sets(data, offs), lo):
                 if roles[i] == 0:
                     key, own = (hubs[i], salts[i]), s
                 elif key == (hubs[i], salts[i]):
-                    out.append((hubs[i], ids[i], _common(own, s)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["hub", "id", "overlap"])
+                    overlap[i] = _common(own, s)
+        at = overlap >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (hubs, ids, overlap)], ["hub", "id", "overlap"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,7 +178,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _among(rows: DataFrame, col: str, ids: DataFrame, bits: int = 20) -> DataFrame:
+def _among(rows: DataFrame, col: str, ids: DataFrame, bits: int = 21) -> DataFrame:
     """Rows whose id may be in ids: a bit table of fixed size is broadcast. It only saves later work."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     table = ids.select(slot(F.col("id")).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits"))
@@ -192,14 +187,13 @@ def _among(rows: DataFrame, col: str, ids: DataFrame, bits: int = 20) -> DataFra
 
 
 def compare(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame:
-    """(hub, id, overlap) of the pairs (hub, id), from (id, text). A hub with many partners is spread."""
+    """(hub, id, overlap) of the written pairs (hub, id), from (id, text). A hub with many partners is spread."""
     count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(count, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / per_task) + 1).cast("int")).drop("n")
-    texts = _among(texts, "id", pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))))
-    members = pairs.join(texts, "id").select("hub", "salt", F.lit(1).alias("role"), "id", "text")
-    hubs = pairs.select(F.col("hub").alias("id"), "salt").distinct().join(texts, "id").select(F.col("id").alias("hub"), "salt", F.lit(0).alias("role"), "id", "text")
-    rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return rows.mapInArrow(_overlaps, "hub long, id long, overlap long").distinct()  # repeated rows have repeated texts
+    pairs = pairs.join(count, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / per_task) + 1).cast("int").alias("salt"))
+    hubs = pairs.select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("id")).distinct()
+    asked = pairs.select("hub", "salt", F.lit(1).alias("role"), "id").unionByName(hubs)
+    rows = asked.join(texts, "id").select("hub", "salt", "role", "id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return rows.mapInArrow(_overlaps, "hub long, id long, overlap long")
 
 
 def linked(overlap, n1, n2):
@@ -207,46 +201,67 @@ def linked(overlap, n1, n2):
     return F.lit(7) * overlap >= F.lit(3) * (n1 + n2)
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that edges (a, b) reach. Neighbours' minima, then a jump, until nothing changes."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    both = written(both.where("id <> other").distinct(), "join-edges")
-    labels = written(both.select("id").distinct().withColumn("comp", F.col("id")), "join-labels")
+def needed(n1: str, n2: str) -> str:
+    """SQL for the least number that two sets of these sizes share of their first n // 4 + 1 shingles if they link."""
+    return "least(" + ", ".join(f"ceil(3 * ({n1} + {n2}) / 7) - {n} + {n} div 4 + 1" for n in (n1, n2)) + ")"
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp) of each vertex of edges (a, b): the smallest id it reaches. Neighbours' minima, then a jump, until nothing changes."""
+    both = edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct()
+    both = scratch.put(both, "ends")
+    labels = scratch.put(both.groupBy("id").agg(F.min("other").alias("comp")).select("id", F.least("id", "comp").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "comp"), "other").groupBy("id").agg(F.min("comp").alias("near"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("comp").alias("jump"))
-        new = written(step.join(jump, "mid", "left").select("id", "old", F.least("mid", F.coalesce("jump", "mid")).alias("comp")), "join-labels")
-        labels = new.select("id", "comp")
-        if new.where("old <> comp").limit(1).count() == 0:
-            break
-    return vertices.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        new = scratch.put(step.join(jump, "mid", "left").select("id", "old", F.least("mid", F.coalesce("jump", "mid")).alias("comp")), "labels")
+        scratch.drop(labels)
+        labels = new
+        if new.where("old <> comp").isEmpty():
+            scratch.drop(both)
+            return labels.select("id", "comp")
+
+
+def _merged(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """comps (id, comp), with the components that edges (a, b) join as one."""
+    of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
+    labels = components(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), scratch)
+    return scratch.put(comps.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("_new")), "comp", "left").select("id", F.coalesce("_new", "comp").alias("comp")), "comps")
 
 
 def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The lists that more than one component shares, with the sets' components."""
     lists = lists.join(comps, "id")
     spread = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    return written(lists.join(spread, "token"), "join-open")
+    return lists.join(spread, "token")
 
 
 def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """(hub, id): for each set, of the hubs of its lists and of other components, the one of most lists.
 
-    Links that this leaves out are found by the blocks.
+    A list has a hub for each class of sizes; the classes' bounds shift by turns. Pairs of fewer lists than
+    half of what a link needs are left to the blocks, as are all others that this leaves out.
     """
-    first = F.col("posts").cast("long") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
-    hub = lists.groupBy("token").agg(F.max(F.struct(first.alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "_h.*")
-    pairs = lists.join(hub, "token").where("comp <> hub_comp and 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
-    met = pairs.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("lists"))
-    return met.groupBy("id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).select("hub", "id")
-
-
-def _block_pairs(lists: DataFrame) -> DataFrame:
-    """(y, z, sizes): pairs of sets of different components, from pairs of blocks that may hold a link."""
-    lists = lists.withColumns({"size_block": F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int"), "place_block": F.floor(F.col("pos") * 32 / F.col("n")).cast("int"), "rest": F.col("n") - F.col("pos")})
-    keys = ["token", "size_block", "place_block"]
-    blocks = lists.groupBy(*keys).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("rest").alias("rest_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"))
+    lists = lists.withColumn("size_class", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)) + F.lit(turn % 2 / 2)).cast("int"))
+    hub = lists.groupBy("token", "size_class").agg(F.max(F.struct(F.xxhash64(F.col("id"), F.lit(turn)).alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "size_class", "_h.*")
+    met = lists.join(hub, ["token", "size_class"]).where("comp <> hub_comp").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    return met.where(f"2 * lists >= {needed('n', 'hub_n')}").groupBy("id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).select("hub", "id")
+
+
+BLOCK = ["token", "size_block", "place_block"]
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    return lists.withColumns({"size_block": F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int"), "place_block": F.floor(F.col("pos") * 32 / F.col("n")).cast("int"), "rest": F.col("n") - F.col("pos")})
+
+
+def _block_skips(lists: DataFrame) -> DataFrame:
+    """Pairs of blocks that may hold a link of different components, with the number of pairs of sets.
+
+    The first shingle that two linked sets share leaves each as many shingles from there on as they share.
+    """
+    blocks = _blocks(lists).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("rest").alias("rest_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"))
     a, b = blocks.alias("a"), blocks.alias("b")
     fits = F.expr(
         "(a.size_block < b.size_block or (a.size_block = b.size_block and a.place_block <= b.place_block))"
@@ -255,80 +270,97 @@ def _block_pairs(lists: DataFrame) -> DataFrame:
         " and not (a.c_min = a.c_max and b.c_min = b.c_max and a.c_min = b.c_min)"
     )
     near = a.join(b, F.col("a.token") == F.col("b.token")).where(fits)
-    near = near.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.size_block").alias("size_block2"), F.col("b.place_block").alias("place_block2"))
-    left = lists.select(*keys, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
+    return near.select(*[F.col(f"a.{k}").alias(k) for k in BLOCK], F.col("b.size_block").alias("size_block2"), F.col("b.place_block").alias("place_block2"), (F.col("a.rows") * F.col("b.rows")).alias("work"))
+
+
+def _block_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """(y, z, sizes): pairs of sets of different components, from the pairs of blocks."""
+    lists = _blocks(lists)
+    left = lists.select(*BLOCK, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
     right = lists.select("token", F.col("size_block").alias("size_block2"), F.col("place_block").alias("place_block2"), F.col("id").alias("z"), F.col("n").alias("nz"), F.col("rest").alias("rz"), F.col("comp").alias("cz"))
-    pairs = left.join(near, keys).join(right, ["token", "size_block2", "place_block2"])
-    pairs = pairs.where("cy <> cz and 4 * least(ny, nz) >= 3 * greatest(ny, nz) and 7 * least(ry, rz) >= 3 * (ny + nz)")
-    return pairs.select(F.least("y", "z").alias("y"), F.greatest("y", "z").alias("z"), F.when(F.col("y") < F.col("z"), F.col("ny")).otherwise(F.col("nz")).alias("ny"), F.when(F.col("y") < F.col("z"), F.col("nz")).otherwise(F.col("ny")).alias("nz")).distinct()
+    pairs = left.join(near, BLOCK).join(right, ["token", "size_block2", "place_block2"])
+    pairs = pairs.where("cy <> cz and 7 * least(ry, rz) >= 3 * (ny + nz)")
+    swap = F.col("y") > F.col("z")
+    return pairs.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("y", "z"), ("z", "y"), ("ny", "nz"), ("nz", "ny"))]).distinct()
 
 
-def _derive(pairs: DataFrame, compared: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (y, z) that are known to link through a hub's answers, and those that must be compared."""
-    known = compared.select(F.col("hub").alias("a"), F.col("id").alias("b"), "overlap").unionByName(compared.select(F.col("id").alias("a"), F.col("hub").alias("b"), "overlap")).distinct()
+def _derive(pairs: DataFrame, compared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(y, z, sure, never) of the pairs (y, z) not yet compared: whether a hub's answers show that they link, or never do."""
+    known = compared.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b"), "overlap"), F.struct(F.col("id").alias("a"), F.col("hub").alias("b"), "overlap"))).alias("e")).select("e.*")
     near = compared.join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
     near = near.groupBy(F.col("id").alias("y")).agg(F.max_by(F.struct("hub", "hub_n", "overlap"), F.struct(F.col("overlap") / F.col("hub_n"), "hub")).alias("h")).select("y", F.col("h.hub").alias("x"), F.col("h.hub_n").alias("nx"), F.col("h.overlap").alias("xy"))
-    done = known.select(F.col("a").alias("y"), F.col("b").alias("z"))
-    pairs = pairs.join(done, ["y", "z"], "left_anti")
-    pairs = pairs.join(near, "y", "left").join(known.select(F.col("a").alias("x"), F.col("b").alias("z"), F.col("overlap").alias("xz")), ["x", "z"], "left")
+    pairs = pairs.join(known.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_anti")
+    pairs = pairs.join(near, "y", "left").join(known.groupBy(F.col("a").alias("x"), F.col("b").alias("z")).agg(F.max("overlap").alias("xz")), ["x", "z"], "left")
     least, most = F.col("xz") - (F.col("nx") - F.col("xy")), F.col("xz") + (F.col("ny") - F.col("xy"))
-    pairs = written(pairs.withColumns({"sure": F.coalesce(linked(least, F.col("ny"), F.col("nz")), F.lit(False)), "never": F.coalesce(~linked(most, F.col("ny"), F.col("nz")), F.lit(False))}).select("y", "z", "sure", "never"), "join-pairs")
-    return pairs.where("sure").select(F.col("y").alias("a"), F.col("z").alias("b")), pairs.where("not sure and not never").select(F.col("y").alias("hub"), F.col("z").alias("id"))
+    return pairs.select("y", "z", F.coalesce(linked(least, F.col("ny"), F.col("nz")), F.lit(False)).alias("sure"), F.coalesce(~linked(most, F.col("ny"), F.col("nz")), F.lit(False)).alias("never"))
+
+
+def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
+    found = compared.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
+    return found.where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
+def _ranks(scanned: DataFrame) -> tuple[np.ndarray, int]:
+    """Each slot's rank, from its count, and the rank from which lists are spread."""
+    counts = np.zeros(SKETCH, np.int64)
+    got = scanned.where("kind > 0").groupBy("kind", "a").agg(F.sum("b").alias("n")).toArrow()  # at most SKETCH + 1 rows
+    kind, slot, n = (got.column(k).to_numpy() for k in ("kind", "a", "n"))
+    counts[slot[kind == 1]] = n[kind == 1]
+    rank = lambda x: np.minimum(65535, np.floor(OCTAVE * np.log2(x + 1)))
+    return rank(counts).astype(np.uint16), int(rank(max(LONG, 16 * int(n[kind == 2].sum()) // SKETCH)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, text_key (a hash of the text).
 
     component_id is the smallest id that links reach, the row's own if there is none. A null or empty
     text, or one without words, has no shingles and no link. A text of fewer than five words links with
     equal word sequences only. Rows that repeat an id are texts of their own. A row without an id has
     no component and joins nothing. An empty table gives an empty result; other columns are not read.
+    ``rounds`` (1 or more) bounds the hub rounds; the result is the same for any number.
     """
+    scratch = Scratch(docs.sparkSession, "join")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    scanned = written(source.mapInArrow(_scan, "kind tinyint, a long, b long, c long, d long"), "join-scan")
+    scanned = scratch.put(source.mapInArrow(_scan, "kind tinyint, a long, b long, c long, d long"), "scan")
     rows = scanned.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("c").alias("n"), F.col("d").alias("key"))
-    counts = np.zeros(SKETCH, np.int64)
-    got = scanned.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()  # at most SKETCH rows
-    counts[got.column("a").to_numpy()] = got.column("n").to_numpy()
-    rank = np.minimum(65535, np.floor(OCTAVE * np.log2(counts + 1))).astype(np.uint64)
-    heavy = min(65535, int(rank.mean()) + 12 * OCTAVE)  # lists some 4,000 times as long as a slot's usual count
+    rank, heavy = _ranks(scanned)
 
     posts = source.select("text").mapInArrow(_post(rank, heavy), "token long, set long, place long, salt int")
-    met = posts.repartition("token", "salt").sortWithinPartitions("token", "set", "place").mapInArrow(_shared, "token long, set long, place long")
-    met = written(met, "join-posts")
-    classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min("id").alias("least"))
-    lists = met.select("token", "set", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"))
-    used = lists.groupBy("set", "n").agg(F.count(F.lit(1)).alias("posts")).join(classes, ["set", "n"])
-    used = written(used.withColumn("id", F.monotonically_increasing_id()), "join-used")  # a class's number
-    lists = written(lists.join(used, ["set", "n"]).select("token", "id", "n", "pos", "posts"), "join-lists")
-    asked = _among(source.select(F.col("id").alias("least"), "text"), "least", used.select(F.col("least").alias("id")))
-    asked = asked.join(used.select("least", "set", "n", "id"), "least").select("set", "n", "id", "text")
-    texts = written(asked.mapInArrow(_texts_of(["id", "text"]), "id long, text string"), "join-texts")  # repeats of a row too
-
+    met = posts.repartition("token", "salt").sortWithinPartitions("token", "place", "set").mapInArrow(_shared, "token long, set long, place long")
+    met = met.select("token", "set", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+    kept = met.withColumn("posts", F.count(F.lit(1)).over(Window.partitionBy("set", "n"))).where(f"posts >= 1 + n div {EXTRA}").drop("posts")
+    kept = scratch.put(kept, "posts")
+    # A class is a set that some row with an id has; its number stands for it from here on.
+    classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min(F.struct("id", "key")).alias("least"))
+    used = kept.select("set", "n").distinct().join(classes, ["set", "n"])
+    used = scratch.put(used.select(F.monotonically_increasing_id().alias("id"), "set", "n", F.col("least.id").alias("least"), F.col("least.key").alias("key")), "used")
     sizes = used.select("id", "n")
-    lists = lists.withColumn("comp", F.col("id"))
-    compared = edges = None
-    for turn in range(hub_rounds):
-        pairs = written(_hub_pairs(lists, turn), "join-hubs")
-        if compared is not None:
-            pairs = pairs.join(compared.select("hub", "id"), ["hub", "id"], "left_anti")
-        more = written(compare(pairs, texts), "join-overlaps")
+    lists = scratch.put(kept.where("pos <= n div 4").join(used, ["set", "n"]).select("token", "id", "n", "pos", F.col("id").alias("comp")), "lists")
+    scratch.drop(kept)
+    asked = _among(source.select(F.col("id").alias("least"), "key", "text"), "least", used.select(F.col("least").alias("id"))).groupBy("least", "key").agg(F.first("text").alias("text"))
+    texts = scratch.put(asked.join(used, ["least", "key"]).select("id", "text"), "texts")
+
+    comps, compared, work = sizes.select("id", F.col("id").alias("comp")), None, None
+    for turn in range(rounds):
+        pairs = scratch.put(_hub_pairs(lists, turn), "hubs")
+        more = scratch.put(compare(pairs, texts), "overlaps")
         compared = more if compared is None else compared.unionByName(more)
-        n_hub = sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
-        found = more.join(sizes, "id").join(n_hub, "hub").where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        comps = written(components(sizes.select("id"), edges), "join-comps")
-        lists = _open_lists(lists.drop("comp"), comps)
-    pairs = written(_block_pairs(lists), "join-blocks")
-    sure, open_pairs = _derive(pairs, compared, sizes)
-    more = compare(open_pairs, texts)
-    found = more.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub").where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    comps = components(sizes.select("id"), edges.unionByName(sure).unionByName(found))
-
-    # A component's name is the smallest id of its classes; a class that shares no shingle is one by itself.
-    comps = written(comps.join(used.select("id", "set", "n", "least"), "id"), "join-comps")
-    names = comps.groupBy("comp").agg(F.min("least").alias("name"))
-    of_class = classes.join(comps.join(names, "comp").select("set", "n", "name"), ["set", "n"], "left").select("set", "n", F.coalesce("name", "least").alias("name"))
+        comps = _merged(comps, _links(more, sizes), scratch)
+        lists = scratch.put(_open_lists(lists.drop("comp"), comps), "lists")
+        near = scratch.put(_block_skips(lists), "blocks")
+        before, work = work, near.agg(F.sum("work")).first()[0] or 0
+        if work <= 8 * lists.count() or before and work > 0.9 * before:
+            break
+    pairs = scratch.put(_derive(_block_pairs(lists, near), compared, sizes), "pairs")
+    open_pairs = pairs.where("not sure and not never").select(F.col("y").alias("hub"), F.col("z").alias("id"))
+    more = scratch.put(compare(open_pairs, texts), "overlaps")
+    sure = pairs.where("sure").select(F.col("y").alias("a"), F.col("z").alias("b"))
+    comps = _merged(comps, _links(more, sizes).unionByName(sure), scratch)
+
+    # A component's name is the smallest id of its classes; a class that shares too little is one by itself.
+    named = comps.join(used, "id").groupBy("comp").agg(F.min("least").alias("name")).join(comps, "comp").join(used.select("id", "set", "n"), "id").select("set", "n", "name")
+    of_class = scratch.put(classes.join(named, ["set", "n"], "left").select("set", "n", F.coalesce("name", F.col("least.id")).alias("name")), "names")
+    scratch.keep(scanned, of_class)
     out = rows.join(of_class, ["set", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("name")), F.col("id"))).alias("component_id"), F.col("key").alias("text_key"))
 

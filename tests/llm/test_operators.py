@@ -145,18 +145,40 @@ def test_repeated_and_missing_ids(spark):
     assert quality_model.quality_scores(df, labels).where("doc_id is null and not held_out").count() == 3
 
 
-def test_long_lists_keep_their_postings():
-    """A list longer than a batch's keep-back loses none of its rows."""
-    import numpy as np
+def test_lists_keep_postings_with_a_fitting_size():
+    """A list over many batches loses no row that a set of fitting size shares, and keeps no other unless it is spread."""
     import pyarrow as pa
 
-    n = 200_000
-    token = np.concatenate([[1], np.full(n, 5), [9], [12, 12]])
-    sets = np.concatenate([[3], np.arange(n), [4], [7, 8]])
-    cols = [token.astype(np.int64), sets.astype(np.int64), np.full(len(token), 7 << 32, np.int64), np.zeros(len(token), np.int32)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 10_000]) for c in cols], ["token", "set", "place", "salt"]) for k in range(0, len(token), 10_000)]
-    out = [r for b in jaccard_join._shared(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    assert len(out) == len(set(out)) == n + 2
+    rng = np.random.default_rng(5)
+    rows = [(1, 3, 7, 0), (9, 4, 7, 0), (9, 5, 10, 0), (12, 7, 30, 0), (12, 8, 40, 0), (13, 1, 9, 4)]
+    rows += [(5, i, int(2 ** rng.uniform(0, 24)), 0) for i in range(3000)] + [(20 + i % 40, i, int(rng.integers(1, 60)), 0) for i in range(2000)]
+    want = {(t, s) for t, s, n, salt in rows if salt or any(t == u and s != v and 4 * min(n, m) >= 3 * max(n, m) for u, v, m, _ in rows)}
+    rows = sorted([(t, n << 32, s, salt) for t, s, n, salt in rows + rows[::3]])
+    cols = [np.array(x, np.int32 if k == 3 else np.int64) for k, x in enumerate(zip(*[(t, s, p, salt) for t, p, s, salt in rows], strict=True))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in cols], ["token", "set", "place", "salt"]) for i in range(0, len(rows), 7)]
+    out = [r for b in jaccard_join._shared(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert len(out) == len(set(out)) and set(out) == want
+
+
+@pytest.mark.parametrize("extra", [3, 10])
+def test_linked_sets_share_enough_postings(extra, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "EXTRA", extra)
+    for n in range(1, 400):
+        for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
+            common = -(-3 * (n + m) // 7)
+            if common <= min(n, m):
+                assert min(common - k + jaccard_join.prefix(k) for k in (n, m)) >= 1 + n // extra
+
+
+def test_jaccard_join_whole_table(spark):
+    """Brute force over every document of a table, with lists spread over tasks and without."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_components([(r["doc_id"], r["text"]) for r in rows.collect()])
+    for long in (jaccard_join.LONG, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(jaccard_join, "LONG", long)
+            got = jaccard_join.near_duplicates(rows).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_quality_counts(docs, empty):
