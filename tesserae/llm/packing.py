@@ -47,24 +47,40 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[floa
     return float(value[room]), counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse of a matrix, by elimination with row pivots."""
+    n = len(a)
+    m = np.hstack([a, np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(m[k:, k]).argmax())
+        m[[k, p]] = m[[p, k]]
+        m[k] /= m[k, k]
+        factor = m[:, k].copy()
+        factor[k] = 0
+        m -= np.outer(factor, m[k])
+    return m[:, n:]
+
+
 def patterns(demand: dict[int, int], room: int, gap: float = 1e-4, rounds: int = 5000) -> list[tuple[dict[int, int], int]]:
     """(pattern, copies) pairs that hold exactly the demand: size -> pieces.
 
     The simplex method over generated columns, ended when the price bound shows that the relaxed
-    program is within ``gap`` of its optimum.
+    program is within ``gap`` of its optimum; an error if ``rounds`` are not enough. Elementwise products
+    only: a threaded BLAS can stall beside the driver's JVM.
     """
     sizes = np.array(sorted(s for s, d in demand.items() if d > 0), np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], np.float64)
+    shaken = need + 1e-6 * np.arange(1, len(need) + 1) / len(need)  # no two ratios tie, so no basis comes twice
     columns = np.diag(room // sizes).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(columns))
     for step in range(rounds):
-        used = inverse @ need
+        used = (inverse * shaken).sum(axis=1)
         value, column = best_pattern(sizes, inverse.sum(axis=0), room)
         if value <= 1 + gap:
             break
-        way = inverse @ column
+        way = (inverse * column).sum(axis=1)
         ratio = np.full(len(way), np.inf)
         np.divide(np.maximum(used, 0), way, out=ratio, where=way > 1e-9)
         out = int(ratio.argmin())
@@ -72,13 +88,15 @@ def patterns(demand: dict[int, int], room: int, gap: float = 1e-4, rounds: int =
             break
         columns[:, out] = column
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
+            inverse = inverted(columns)
         else:
             row = inverse[out] / way[out]
             inverse -= np.outer(way, row)
             inverse[out] = row
-    copies = np.floor(np.maximum(inverse @ need, 0) + 1e-6).astype(np.int64)
-    while (over := columns.astype(np.int64) @ copies - need.astype(np.int64)).max() > 0:  # rounding noise only
+    else:
+        raise RuntimeError(f"no packing within {gap} of the optimum after {rounds} rounds")
+    copies = np.floor(np.maximum((inverse * need).sum(axis=1), 0) + 1e-6).astype(np.int64)
+    while (over := (columns.astype(np.int64) * copies).sum(axis=1) - need.astype(np.int64)).max() > 0:  # rounding noise only
         copies[int(np.flatnonzero(columns[int(over.argmax())] * copies)[0])] -= 1
     found = [({int(sizes[i]): int(columns[i, j]) for i in np.flatnonzero(columns[:, j])}, int(copies[j])) for j in np.flatnonzero(copies)]
     left = {int(s): int(d) for s, d in zip(sizes, -over, strict=True) if d}
