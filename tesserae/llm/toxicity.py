@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios, read in windows.
 
-A window's features are the byte 4-, 6- and 8-grams of its lower-cased text, each present or not. An
-n-gram is known by its size and its bytes, so two n-grams never share a weight. Training finds, for each
-n-gram, the log ratio of its share in toxic and in other texts; a logistic regression is then fitted to
-the features multiplied by their ratio. A text's score is that of its most toxic window of two blocks of
-``BLOCK`` bytes, in training as well, so that it does not grow with the text's length.
+A window's features are the character 4-, 6- and 8-grams of its lower-cased text, each present or not;
+characters are code points. An n-gram is known by its size and a 64-bit hash of its code points. Training
+finds, for each n-gram, the log ratio of its share in toxic and in other texts; a logistic regression is
+then fitted to the features multiplied by their ratio. A text's score is that of its most toxic window of
+two blocks of ``BLOCK`` characters, in training as well, so that it does not grow with the text's length.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, crc_mod, written
+from .common import LOWER, buffers, chunks, crc_mod, mix64, written
 
 SIZES = (4, 6, 8)
-#: Bytes. A window starts at each block but the last and ends with the next block.
+#: Characters. A window starts at each block but the last and ends with the next block.
 BLOCK = 512
 #: Keys that one task counts before it hands them on.
 FLUSH = 1 << 22
@@ -27,14 +27,32 @@ SIEVE = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_keys(data: np.ndarray):
-    """For each size, the bytes of the n-gram that starts at each byte (n - 1 fewer than bytes), as one number."""
-    low = LOWER[data].astype(np.uint64)
+#: A fixed value: the odd base of the n-grams' hash.
+_GRAM_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased (A-Z) code points of UTF-8 texts and their offsets."""
+    if not (data & 0x80).any():
+        return LOWER[data].astype(np.uint64), offs
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = LOWER[data[lead]].astype(np.uint64)
+    size = np.diff(np.append(lead, len(data)))
+    out = np.where(size == 1, first, first & (np.uint64(0x7F) >> size.astype(np.uint64)))
+    for i in range(1, 4):
+        at = np.flatnonzero(size > i)
+        out[at] = (out[at] << np.uint64(6)) | (data[lead[at] + i] & 0x3F)
+    return out, np.searchsorted(lead, offs)
+
+
+def gram_keys(chars: np.ndarray):
+    """For each size, a hash of the n-gram that starts at each character (n - 1 fewer than characters)."""
     for n in SIZES:
-        key = low[: max(0, len(low) - n + 1)].copy()
-        for i in range(1, n if len(key) else 0):
-            key |= low[i : len(low) - n + 1 + i] << np.uint64(8 * i)
-        yield key
+        key = np.zeros(max(0, len(chars) - n + 1), np.uint64)
+        for i in range(n if len(key) else 0):
+            key *= _GRAM_BASE
+            key += chars[i : i + len(key)] + np.uint64(1)
+        yield mix64(key)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +80,8 @@ def _count(batches):
     for b in batches:
         labels = b.column(0).to_numpy()
         for lo, _, data, offs in chunks(b.column(1)):
-            for n, keys in zip(SIZES, gram_keys(data), strict=True):
+            chars, offs = code_points(data, offs)
+            for n, keys in zip(SIZES, gram_keys(chars), strict=True):
                 found = [np.unique(keys[a : max(a, e - n + 1)]) for a, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 label = np.repeat(labels[lo : lo + len(found)], [len(x) for x in found])
                 held[n].append(_summed(np.concatenate(found), np.stack([label == 0, label == 1], axis=1).astype(np.int32)))
@@ -74,7 +93,7 @@ def _count(batches):
 
 
 class Kept:
-    """The n-grams that are kept, found in texts by their bytes."""
+    """The n-grams that are kept, found in texts by their keys."""
 
     def __init__(self, n: np.ndarray, gram: np.ndarray):
         """n and gram: sizes and keys, ascending by both (keys unsigned)."""
@@ -92,11 +111,12 @@ class Kept:
 
     def windows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's windows begin among all windows, and (window, feature) pairs, distinct."""
+        chars, offs = code_points(data, offs)
         blocks = -(-np.diff(offs) // BLOCK)
         first = np.concatenate(([0], np.cumsum(np.maximum(1, blocks - 1))))
         pairs = [np.zeros(0, np.int64)]
         total = sum(len(keys) for _, keys, _, _ in self.parts)
-        for (n, keys, sieve, base), key in zip(self.parts, gram_keys(data), strict=True):
+        for (n, keys, sieve, base), key in zip(self.parts, gram_keys(chars), strict=True):
             at = np.flatnonzero(sieve[self._slot(key)]) if len(keys) else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -127,19 +147,25 @@ def _best(kept: Kept, weights: np.ndarray):
     return run
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, start: tuple[np.ndarray, float], steps: int = 100, penalty: float = 3.0, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Coefficients of the ratios and an intercept, improved from ``start``, from each row's features."""
-    of = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    value = ratio[of]
+def fit(of: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, start: tuple[np.ndarray, float], steps: int = 100, penalty: float = 3.0, rate: float = 0.05, per_part: int = 1 << 17) -> tuple[np.ndarray, float]:
+    """Coefficients of the ratios and an intercept, improved from ``start``.
+
+    Row i has the features ``of[bounds[i] : bounds[i + 1]]``. Rows are taken in parts of about ``per_part``
+    features, so that a step needs little memory beside them.
+    """
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, len(of), per_part)), len(y)))
     w, b = start
     mw, vw, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     total = weight.sum()
     for t in range(1, steps + 1):  # Adam over all rows
-        f = b + np.bincount(row, w[of] * value, len(rows))
-        e = weight * (1 / (1 + np.exp(-np.clip(f, -35, 35))) - y) / total
-        g = np.bincount(of, e[row] * value, len(w)) + penalty * w / total
-        gb = e.sum()
+        scaled, g, gb = w * ratio, penalty * w / total, 0.0
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = of[bounds[lo] : bounds[hi]]
+            row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+            f = b + np.bincount(row, scaled[part], hi - lo)
+            e = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(f, -35, 35))) - y[lo:hi]) / total
+            g += np.bincount(part, e[row], len(w)) * ratio
+            gb += e.sum()
         mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
@@ -147,13 +173,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.nda
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5, sample: int = 10_000, surprise: float = 4.0, rounds: int = 3) -> tuple[Kept, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5, sample: int = 5_000, surprise: float = 4.0, rounds: int = 3) -> tuple[Kept, np.ndarray, float]:
     """Fits on at most ``sample`` rows of each label (by a hash of the id) whose crc32(id) mod ``held_out`` is not 0.
 
     The sample's texts are counted on the executors. The driver gets the n-grams whose count in toxic
     texts is ``surprise`` standard deviations from chance. A text counts as its most toxic window, which
     the executors look for again in each of ``rounds`` (at first by the ratios); the driver gets which
-    n-grams that window has. Rows are weighted by how many of their label there are. An id labelled
+    n-grams that window has, at most 3 numbers a character of ``2 * sample`` windows. Rows are weighted by how many of their label there are. An id labelled
     more than once counts with its largest label; null ids and labels are left out. Without texts of
     both labels: no weights, the intercept of the share.
     """
@@ -180,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = np.zeros(len(ratio)), float(np.log(share / (1 - share)))
     for _ in range(rounds if len(ratio) else 0):
         got = texts.mapInArrow(_best(kept, weights), "label int, weight double, features binary").toArrow()
-        rows = [np.frombuffer(s, "<i4") for s in got.column("features").to_pylist()]
-        found = fit(rows, got.column("label").to_numpy().astype(np.float64), got.column("weight").to_numpy().astype(np.float64), ratio, found)
+        raw, offs = buffers(got.column("features"))
+        found = fit(raw.view("<i4"), offs // 4, got.column("label").to_numpy().astype(np.float64), got.column("weight").to_numpy().astype(np.float64), ratio, found)
         weights = found[0] * ratio
     return kept, weights, found[1]
 
@@ -197,7 +223,7 @@ def _score(kept: Kept, weights: np.ndarray, intercept: float):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 10_000, text_key: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, threshold: float = 0.5, sample: int = 5_000, text_key: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted; with ``text_key`` also a hash of the text.
 
     Only the text decides a score, by its most toxic window; a null text is an empty one and has a

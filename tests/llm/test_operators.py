@@ -424,15 +424,17 @@ def test_pipeline(spark):
     assert all(total[i] == n * tokens[i] for i, n in mixed.items())
 
 
-def test_toxicity_grams_are_known_by_their_bytes():
-    texts = [b"", b"abc", b"ABCD" + b"x" * 2000 + b"abcdefgh", b"abcd\0\0\0\0", b"q" * 505 + b"abcdefgh" + b"q" * 600, b"bcdefgh" * 400]
-    grams = [(4, b"abcd"), (6, b"cdefgh"), (8, b"abcdefgh"), (8, b"abcd\0\0\0\0"), (8, b"hbcdefgh")]
-    keys = sorted((n, int.from_bytes(g, "little"), g) for n, g in grams)
+def test_toxicity_grams_are_characters():
+    texts = ["", "abc", "ABCD" + "x" * 2000 + "abcdefgh", "abcd\0\0\0\0", "q" * 505 + "abcdefgh" + "q" * 600, "bcdefgh" * 400, "été 中文字 😀 naïve É" * 90, "é" * 511 + "日本語 abcd"]
+    grams = [(4, "abcd"), (6, "cdefgh"), (8, "abcdefgh"), (8, "abcd\0\0\0\0"), (8, "hbcdefgh"), (4, "中文字 "), (6, "é 中文字 "), (4, "語 ab"), (8, "😀 naïve ")]
+    key = lambda n, g: int(next(k for size, k in zip(toxicity.SIZES, toxicity.gram_keys(np.array([ord(c) for c in g], np.uint64)), strict=True) if size == n)[0])
+    keys = sorted((n, key(n, g), g) for n, g in grams)
     kept = toxicity.Kept(np.array([k[0] for k in keys]), np.array([k[1] for k in keys], np.uint64))
-    first, window, feature = kept.windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    coded = [t.encode() for t in texts]
+    first, window, feature = kept.windows(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0] + [len(t) for t in coded]))
     want, begin = set(), [0]
     for t in texts:
-        low = t.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+        low = t.translate(LOWER)
         blocks = -(-len(t) // toxicity.BLOCK)
         for w in range(max(1, blocks - 1)):
             part = range(w * toxicity.BLOCK, (w + 2) * toxicity.BLOCK)  # where n-grams begin
@@ -441,6 +443,16 @@ def test_toxicity_grams_are_known_by_their_bytes():
     assert first.tolist() == begin and set(zip(window.tolist(), feature.tolist(), strict=True)) == want and len(window) == len(want)
 
 
+def test_toxicity_fit_in_parts():
+    """The gradient does not depend on how rows are cut into parts."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 9, 200)
+    of, bounds = rng.integers(0, 30, sizes.sum()).astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
+    y, ratio = rng.integers(0, 2, 200).astype(float), rng.normal(size=30)
+    a, b = (toxicity.fit(of, bounds, y, np.ones(200), ratio, (np.zeros(30), 0.1), steps=20, per_part=n) for n in (7, 1 << 20))
+    assert np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
+
+
 LARGER = "/root/testdata/sf0.1"
 
 
