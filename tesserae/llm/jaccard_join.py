@@ -7,14 +7,15 @@ A document's set has its distinct word shingles. Two sets link at Jaccard simila
    first. A set posts its first ``prefix(n) = n // 4 + 1 + n // EXTRA`` shingles. Two sets that link share at
    least ``1 + n // EXTRA`` of them, for either size n: of the set whose prefix ends first, every shared
    shingle is posted by both, and only ``n - prefix(n)`` can follow. So a posting without another set of
-   fitting size in its list is dropped, and then a set with too few postings. Of those left, the first
-   ``n // 4 + 1`` are enough to find each link.
-3. Answer skipping. In a hub round each posting list (of a size class) picks one set, and each set is
-   compared with the hub of most of its lists. Sets whose components have met by then need no more
-   comparison: the hub's answers hold for them.
+   fitting size in its list is dropped, and then a set with too few postings. A set cannot share more than
+   the postings left to it and its shingles beyond the prefix (``cap``), nor, from a posting on, more than
+   those that follow (``rest``); a link's first shared posting leaves both sets enough.
+3. Answer skipping. In a hub round, posting lists (a sample of them, by size class) name a few hubs, and
+   each set is compared with the hub of most of its lists. Sets whose components have met by then need no
+   more comparison: the hub's answers hold for them. Rounds only save work; any choice of hubs will do.
 4. Block skipping. What is left of a list is cut into blocks by set size and by position. Pairs of
-   blocks that cannot hold a link (sizes too far apart, too few shingles from the position on, or all in
-   one component) are skipped as a whole; the sets of the others are paired. If the blocks would pair many
+   blocks that cannot hold a link (sizes too far apart, too little left from the position on, or all in
+   one component) are skipped as a whole; the sets of the others are paired. If the lists would pair many
    more sets than there are postings, another hub round comes first, as long as rounds help.
 5. A pair (y, z) left is derived from y's hub x, if (x, z) has been compared: the overlap of y and z lies
    between |x & z| - |x - y| and |x & z| + |y - x|. Only what that leaves open is compared itself.
@@ -230,38 +231,54 @@ def _merged(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(comps.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("_new")), "comp", "left").select("id", F.coalesce("_new", "comp").alias("comp")), "comps")
 
 
-def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """The lists that more than one component shares, with the sets' components."""
-    lists = lists.join(comps, "id")
-    spread = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    return lists.join(spread, "token")
+def _sample(lists: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """A quarter of the lists, and the postings of short sets, with the sets' components."""
+    return lists.where(F.expr(f"n < 64 or pmod(xxhash64(token, {turn}), 4) = 0")).join(comps, "id")
 
 
-def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def _work(lists: DataFrame) -> tuple[int, int]:
+    """How many pairs of sets of different components the lists hold, and how many postings there are."""
+    of = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    found = of.agg(F.sum(F.expr("(n * n - same) div 2")), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _hub_pairs(lists: DataFrame, compared: DataFrame | None, turn: int, hubs: int = 4) -> DataFrame:
     """(hub, id): for each set, of the hubs of its lists and of other components, the one of most lists.
 
-    A list has a hub for each class of sizes; the classes' bounds shift by turns. Pairs of fewer lists than
-    half of what a link needs are left to the blocks, as are all others that this leaves out.
+    A list names up to ``hubs`` hubs for each class of sizes, at first those of which the largest part may
+    be shared; the classes' bounds shift by turns. Pairs of very few lists are left to the blocks, as are
+    all others that this leaves out.
     """
     lists = lists.withColumn("size_class", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)) + F.lit(turn % 2 / 2)).cast("int"))
-    hub = lists.groupBy("token", "size_class").agg(F.max(F.struct(F.xxhash64(F.col("id"), F.lit(turn)).alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "size_class", "_h.*")
-    met = lists.join(hub, ["token", "size_class"]).where("comp <> hub_comp").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
-    return met.where(f"2 * lists >= {needed('n', 'hub_n')}").groupBy("id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).select("hub", "id")
+    first = F.xxhash64(F.col("id"), F.lit(turn))
+    hub = lists.groupBy("token", "size_class", F.pmod(first, F.lit(hubs))).agg(F.max(F.struct((F.col("cap") / F.col("n") if turn == 0 else F.lit(0.0)).alias("_cap"), first.alias("_first"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("_h")).select("token", "size_class", "_h.*")
+    met = lists.join(hub, ["token", "size_class"]).where("comp <> hub_comp").groupBy("id", "hub", "n", "hub_n").agg(F.count(F.lit(1)).alias("lists"))
+    met = met.where(f"8 * lists >= {needed('n', 'hub_n')}")
+    if compared is not None:
+        met = met.join(_both(compared).select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti")
+    return met.groupBy("id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).select("hub", "id")
+
+
+def _both(compared: DataFrame) -> DataFrame:
+    """(a, b, overlap) of the compared pairs, either way."""
+    ends = F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b"), "overlap"), F.struct(F.col("id").alias("a"), F.col("hub").alias("b"), "overlap"))
+    return compared.select(F.explode(ends).alias("e")).select("e.*")
 
 
 BLOCK = ["token", "size_block", "place_block"]
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
-    return lists.withColumns({"size_block": F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int"), "place_block": F.floor(F.col("pos") * 32 / F.col("n")).cast("int"), "rest": F.col("n") - F.col("pos")})
+    return lists.withColumns({"size_block": F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int"), "place_block": F.floor(F.col("rest") * 32 / F.col("n")).cast("int")})
 
 
 def _block_skips(lists: DataFrame) -> DataFrame:
-    """Pairs of blocks that may hold a link of different components, with the number of pairs of sets.
+    """Pairs of blocks that may hold a link of different components.
 
     The first shingle that two linked sets share leaves each as many shingles from there on as they share.
     """
-    blocks = _blocks(lists).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("rest").alias("rest_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"))
+    blocks = _blocks(lists).groupBy(*BLOCK).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("rest").alias("rest_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"))
     a, b = blocks.alias("a"), blocks.alias("b")
     fits = F.expr(
         "(a.size_block < b.size_block or (a.size_block = b.size_block and a.place_block <= b.place_block))"
@@ -270,7 +287,7 @@ def _block_skips(lists: DataFrame) -> DataFrame:
         " and not (a.c_min = a.c_max and b.c_min = b.c_max and a.c_min = b.c_min)"
     )
     near = a.join(b, F.col("a.token") == F.col("b.token")).where(fits)
-    return near.select(*[F.col(f"a.{k}").alias(k) for k in BLOCK], F.col("b.size_block").alias("size_block2"), F.col("b.place_block").alias("place_block2"), (F.col("a.rows") * F.col("b.rows")).alias("work"))
+    return near.select(*[F.col(f"a.{k}").alias(k) for k in BLOCK], F.col("b.size_block").alias("size_block2"), F.col("b.place_block").alias("place_block2"))
 
 
 def _block_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
@@ -286,7 +303,7 @@ def _block_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
 
 def _derive(pairs: DataFrame, compared: DataFrame, sizes: DataFrame) -> DataFrame:
     """(y, z, sure, never) of the pairs (y, z) not yet compared: whether a hub's answers show that they link, or never do."""
-    known = compared.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b"), "overlap"), F.struct(F.col("id").alias("a"), F.col("hub").alias("b"), "overlap"))).alias("e")).select("e.*")
+    known = _both(compared)
     near = compared.join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
     near = near.groupBy(F.col("id").alias("y")).agg(F.max_by(F.struct("hub", "hub_n", "overlap"), F.struct(F.col("overlap") / F.col("hub_n"), "hub")).alias("h")).select("y", F.col("h.hub").alias("x"), F.col("h.hub_n").alias("nx"), F.col("h.overlap").alias("xy"))
     pairs = pairs.join(known.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_anti")
@@ -310,7 +327,7 @@ def _ranks(scanned: DataFrame) -> tuple[np.ndarray, int]:
     return rank(counts).astype(np.uint16), int(rank(max(LONG, 16 * int(n[kind == 2].sum()) // SKETCH)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, text_key (a hash of the text).
 
     component_id is the smallest id that links reach, the row's own if there is none. A null or empty
@@ -328,29 +345,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = source.select("text").mapInArrow(_post(rank, heavy), "token long, set long, place long, salt int")
     met = posts.repartition("token", "salt").sortWithinPartitions("token", "place", "set").mapInArrow(_shared, "token long, set long, place long")
     met = met.select("token", "set", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-    kept = met.withColumn("posts", F.count(F.lit(1)).over(Window.partitionBy("set", "n"))).where(f"posts >= 1 + n div {EXTRA}").drop("posts")
-    kept = scratch.put(kept, "posts")
+    # What a set may share in all, and from each posting on.
+    left = F.count(F.lit(1)).over(Window.partitionBy("set", "n").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+    beyond = F.expr(f"n - (n div 4 + 1 + n div {EXTRA})")
+    met = met.withColumns({"rest": (left + beyond).cast("int"), "cap": (F.count(F.lit(1)).over(Window.partitionBy("set", "n")) + beyond).cast("int")})
+    kept = scratch.put(met.where(f"cap - n + n div 4 >= 0 and 4 * rest >= 3 * n").drop("pos"), "posts")
     # A class is a set that some row with an id has; its number stands for it from here on.
     classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min(F.struct("id", "key")).alias("least"))
     used = kept.select("set", "n").distinct().join(classes, ["set", "n"])
     used = scratch.put(used.select(F.monotonically_increasing_id().alias("id"), "set", "n", F.col("least.id").alias("least"), F.col("least.key").alias("key")), "used")
     sizes = used.select("id", "n")
-    lists = scratch.put(kept.where("pos <= n div 4").join(used, ["set", "n"]).select("token", "id", "n", "pos", F.col("id").alias("comp")), "lists")
+    lists = scratch.put(kept.join(used, ["set", "n"]).select("token", "id", "n", "rest", "cap"), "lists")
     scratch.drop(kept)
     asked = _among(source.select(F.col("id").alias("least"), "key", "text"), "least", used.select(F.col("least").alias("id"))).groupBy("least", "key").agg(F.first("text").alias("text"))
     texts = scratch.put(asked.join(used, ["least", "key"]).select("id", "text"), "texts")
 
-    comps, compared, work = sizes.select("id", F.col("id").alias("comp")), None, None
+    comps, compared, before = sizes.select("id", F.col("id").alias("comp")), None, None
     for turn in range(rounds):
-        pairs = scratch.put(_hub_pairs(lists, turn), "hubs")
+        sample = _sample(lists, comps, turn)
+        if turn:
+            work, postings = _work(sample)
+            if work <= 4 * postings or turn > 2 and work > 0.8 * before:
+                break
+            before = work
+        pairs = scratch.put(_hub_pairs(sample, compared, turn), "hubs")
         more = scratch.put(compare(pairs, texts), "overlaps")
         compared = more if compared is None else compared.unionByName(more)
         comps = _merged(comps, _links(more, sizes), scratch)
-        lists = scratch.put(_open_lists(lists.drop("comp"), comps), "lists")
-        near = scratch.put(_block_skips(lists), "blocks")
-        before, work = work, near.agg(F.sum("work")).first()[0] or 0
-        if work <= 8 * lists.count() or before and work > 0.9 * before:
-            break
+    lists = scratch.put(lists.drop("cap").join(comps, "id"), "lists")
+    near = _block_skips(lists)
     pairs = scratch.put(_derive(_block_pairs(lists, near), compared, sizes), "pairs")
     open_pairs = pairs.where("not sure and not never").select(F.col("y").alias("hub"), F.col("z").alias("id"))
     more = scratch.put(compare(open_pairs, texts), "overlaps")
