@@ -76,7 +76,16 @@ def test_exact_dedup(docs, empty):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({max(g) for g in groups.values()})
-    assert exact_dedup.exact_classes(empty).count() == 0
+    assert exact_dedup.exact_classes(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.exact_classes(docs, salts=65)
+
+
+def test_exact_dedup_of_one_id_keeps_a_defined_row(spark):
+    rows = [(7, "Same Text", "en", "a", 1), (7, "same text", "fr", "b", 2), (7, "SAME TEXT", "de", "c", 3), (3, "same text", "en", "d", 4), (9, "alone", "en", "e", 5)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        assert sorted(tuple(r) for r in exact_dedup.exact_dedup(df).collect()) == [rows[2], rows[4]]
 
 
 def brute_components(rows):
