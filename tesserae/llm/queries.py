@@ -71,7 +71,8 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return digests(format_conversations(rows)).drop("round_trip")
+    broken = F.raise_error(F.lit("a formatted conversation does not parse back to its source")).cast("long")
+    return digests(format_conversations(rows)).withColumn("n_turns", F.when(F.col("round_trip"), F.col("n_turns")).otherwise(broken)).drop("round_trip")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
