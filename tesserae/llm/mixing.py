@@ -26,15 +26,15 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(count_words(b.column(4)))], ["doc_id", "source", "k1", "k2", "size"])
 
 
-def row_keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
-    """Two 64-bit hashes of a row's id, text and source: its key and its place in the stream."""
-    parts = [F.col(id_col).cast("long"), F.col(text_col), F.col(source_col).cast("string")]
+def row_keys(id_col: str, text_col: str, source_col: str, others: Sequence[str] = ()) -> dict[str, Column]:
+    """Two 64-bit hashes of a row's id, text, source and ``others``: its key and its place in the stream."""
+    parts = [F.col(id_col).cast("long"), F.col(text_col), F.col(source_col).cast("string"), *[F.col(f"`{c}`") for c in others]]
     return {"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(7), *parts)}
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", others: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, k1, k2 and size in words of each row, in a scratch table."""
-    keys = row_keys(id_col, text_col, source_col)
+    keys = row_keys(id_col, text_col, source_col, others)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), keys["k1"].alias("k1"), keys["k2"].alias("k2"), F.col(text_col).cast("string").alias("text"))
     return written(cols.mapInArrow(_sizes, "doc_id long, source string, k1 long, k2 long, size long"), "mix-sizes")
 
@@ -89,7 +89,7 @@ def sources_fit(targets: DataFrame, most: int = 100_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, slopes: Sequence[float] = (-0.6, 0.0, 0.6)) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, slopes: Sequence[float] = (-0.6, 0.0, 0.6), others: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, source, k1, k2, size, source_size, target, taken, positions.
 
     The stream of a source repeats up to ``most`` times. A row is taken on a pass if the middle of
@@ -98,9 +98,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the training time (0..1) of each pass taken. ``slopes`` are the schedules, in turn like the
     weights: -1 falls to zero, 0 is flat, 1 rises from zero. A null text has size 0 and is never
     taken; a null source is a source; repeated rows are taken one by one; an empty table gives an
-    empty result. k1 and k2 (row_keys) decide the order, so reruns agree.
+    empty result. k1 and k2 (row_keys) decide the order, so reruns agree; ``others`` are further columns
+    that they cover.
     """
-    sizes = sized(docs, id_col, text_col, source_col)
+    sizes = sized(docs, id_col, text_col, source_col, others)
     targets = written(source_targets(sizes, weights, share, float(most)), "mix-targets")
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.pmod(F.col("rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
     targets = targets.select(F.col("source").alias("_t"), "source_size", "target", slope.alias("slope"))
@@ -116,13 +117,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents in training order, each as often as the mix takes it, with docs' own columns.
 
     The rows are range-sorted by position (ties by row key), so files written from them, read in
-    order, are the curriculum. Columns other than the three named are carried along; of input rows
-    with one id, text and source, one row's other columns stand for all.
+    order, are the curriculum. All columns are carried along and are part of the row key, so rows that
+    differ in any column are placed one by one; rows equal in all columns are interchangeable, and each is
+    placed. Columns are of types that xxhash64 takes (no maps).
     """
-    keys = row_keys(id_col, text_col, source_col)
     own = docs.columns
+    others = [c for c in own if c not in (id_col, text_col, source_col)]
+    keys = row_keys(id_col, text_col, source_col, others)
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], keys["k1"].alias("_k1"), keys["k2"].alias("_k2"))
-    taken = mix(docs, id_col, text_col, source_col, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.explode("positions").alias("_at"))
+    taken = mix(docs, id_col, text_col, source_col, others=others, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.explode("positions").alias("_at"))
     out = taken.join(renamed.dropDuplicates(["_k1", "_k2"]), ["_k1", "_k2"])
     out = out.repartitionByRange(F.col("_at"), F.col("_k1")).sortWithinPartitions("_at", "_k1", "_k2")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)])

@@ -303,10 +303,21 @@ def test_mixing(docs, empty):
     assert sorted((r["k1"], r["taken"]) for r in rows) == sorted((r["k1"], r["taken"]) for r in again)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    assert sum(len(words(r["text"])) for r in out.collect()) == sum(taken.values())
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    assert sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in mixing.mix(docs, others=others).collect())
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixed_documents_keep_rows_that_differ_in_other_columns(spark):
+    """Rows of one id, text and source are each placed as often as the mix takes them, with their own columns."""
+    rows = [(1, "one two three", "s", "en"), (1, "one two three", "s", "de"), (1, "one two three", "s", "de"), (2, "four", "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken = mixing.mix(df, others=["lang"], share=2.0).collect()
+    assert sum(r["taken"] for r in taken) == 20
+    out = Counter((r["doc_id"], r["lang"]) for r in mixing.mixed_documents(df, share=2.0).collect())
+    assert out == {(1, "en"): 2, (1, "de"): 4, (2, None): 2}
+
+
 def test_demand_time(spark):
     """The inverse of the integrated schedule."""
     import numpy as np
