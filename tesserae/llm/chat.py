@@ -55,6 +55,22 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def loss_spans(formatted: Column) -> Column:
+    """Ranges (start from 0, length, in code points) of the texts of "assistant" turns, found by the grammar alone."""
+    pieces = F.split(formatted, r"\[/INST\]</s>", -1)
+    turns = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = F.locate(HEAD, p) + len(HEAD) - 1
+        role = F.substring(p, F.lit(len(OPEN) + 1), begin - len(HEAD) - len(OPEN))
+        span = F.struct((acc["at"] + begin).cast("long").alias("start"), (F.length(p) - begin).cast("long").alias("length"))
+        spans = F.when(role == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((acc["at"] + F.length(p) + len(TAIL + CLOSE)).cast("long").alias("at"), spans.alias("spans"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+
+
 def _turn(role: Column, text: Column) -> Column:
     """A turn as it is if it parses back to itself, else escaped."""
     plain = _render(role, text)
@@ -64,25 +80,26 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, formatted, turns (parsed back), round_trip.
+    """One row per conversation: conv_id, formatted, turns (parsed back), round_trip, loss_spans.
 
     Rows go by turn; rows of one turn by role, then text; a null turn first. A null text or role is
     empty. A null conv_id is a conversation. round_trip tells whether the parser's turns equal the
-    source; it is true for any input. The loss mask covers the texts of turns whose role is
-    "assistant". An empty table gives an empty result; other columns are not read.
+    source; it is true for any input. loss_spans is the loss mask over formatted: the (escaped) texts of
+    turns whose role is "assistant". An empty table gives an empty result; other columns are not read.
     """
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("rendered", _turn(F.col("role"), F.col("text")))
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("rows"))
     each = each.select("conv_id", F.array_join(F.col("rows.rendered"), "").alias("formatted"), F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"))
     each = each.withColumn("turns", parse(F.col("formatted")))
-    return each.select("conv_id", "formatted", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("round_trip"))
+    return each.select("conv_id", "formatted", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("round_trip"), loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: turn count, digests of turns and of the loss text."""
+    """What can be read back from formatted conversations: turn count, digests of turns and of the text under the loss mask."""
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    under = lambda s: unescaped(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))
+    loss = F.array_join(F.transform("loss_spans", under), "")
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

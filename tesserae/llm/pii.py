@@ -135,13 +135,16 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.when(kind == "ssn", _filled(value, feistel(_digits(value), "ssn", key))).otherwise(value)
 
 
-def pseudonymised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "tesserae") -> DataFrame:
+def pseudonymised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str) -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_found, n_replaced, kinds (sorted, distinct).
 
     A null text stays null, with nothing found; a text without any value stays as it is. Repeated rows
     are treated one by one; an empty table gives an empty result; other columns are not read. n_found
-    counts shapes, n_replaced those that validate; a number that fails its check stays as it is.
+    counts shapes, n_replaced those that validate; a number that fails its check stays as it is. Whoever
+    has ``key`` can undo the pseudonyms, so it has no default and must not be empty.
     """
+    if not key:
+        raise ValueError("key must not be empty")
     pattern = _pattern()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     none = F.array().cast("array<string>")

@@ -147,7 +147,7 @@ def test_repeated_and_missing_ids(spark):
     assert packing.pack(df, *tokenizer_files()).where("doc_id is null").count() == 3
     assert quality_rules.quality_rules(df).where("doc_id is null").count() == 3
     assert mixing.mix(df).where("doc_id is null").count() == 3
-    assert pii.pseudonymised(df).where("doc_id is null").count() == 3
+    assert pii.pseudonymised(df, key="k").where("doc_id is null").count() == 3
     assert language_id.language_id(df).where("doc_id is null and not held_out").count() == 3
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity_scores(df, labels).where("doc_id is null and not held_out").count() == 3
@@ -348,13 +348,17 @@ def test_chat(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     formatted = {r["conv_id"]: r["formatted"] for r in out}
+    for r in out:
+        under = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        own = [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+        assert [re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\]))", r"\1\2\3", x) for x in under] == own
     assert formatted[1].count("</s>") == 3  # only the template's own
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
 def test_pii(spark, docs, empty):
     rows = [(1, "Call +1 (017) 555-7713 or 017-555-7713; card 4111 1111 1111 1111 = 4111111111111111, not 4111111111111112."), (2, "ip 97.51.17.173 on 2024-02-29, 29/02/2024, 29.02.2024; bad 2023-02-30; 1.2.3.4.5; Bo.b9@x.example.com"), (3, None), (4, ""), (5, "9" * 40 + " nothing"), (6, "97.51.17.173")]
-    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(0))).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(0)), key="k").collect()}
     one, two = got[1]["text"], got[2]["text"]
     cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", one)
     assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[2] == "4111111111111112"
@@ -366,9 +370,11 @@ def test_pii(spark, docs, empty):
     assert "bad 2023-02-30; 1.2.3.4.5;" in two and "Bo.b9@" not in two and re.search(r"[A-Z][a-z]\.[a-z]\d@x\.example\.com$", two)
     assert got[6]["text"] == re.search(r"ip (\S+) on", two).group(1) != "97.51.17.173"
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1]
-    plain = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs).collect()}
+    plain = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, key="k").collect()}
     assert all(plain[i] == t for i, t, *_ in TEXTS)
-    assert pii.pseudonymised(empty).count() == 0
+    assert pii.pseudonymised(empty, key="k").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, key="")
 
 
 def test_feistel_is_a_permutation(spark):
