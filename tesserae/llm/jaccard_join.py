@@ -16,7 +16,8 @@ A document's set has its distinct word shingles. Two sets link at Jaccard simila
 4. Block skipping. What is left of a list is cut into blocks by set size and by position. Pairs of
    blocks that cannot hold a link (sizes too far apart, too little left from the position on, or all in
    one component) are skipped as a whole; the sets of the others are paired. If the lists would pair many
-   more sets than there are postings, another hub round comes first, as long as rounds help.
+   more sets than there are postings, another hub round comes first, as long as rounds help: from the
+   second on, the last one must have saved ``FEW`` of the pairs, counted on the same lists before and after.
 5. A pair (y, z) left is derived from y's hub x, if (x, z) has been compared: the overlap of y and z lies
    between |x & z| - |x - y| and |x & z| + |y - x|. Only what that leaves open is compared itself.
 
@@ -38,6 +39,8 @@ OCTAVE = 1600  # steps of a shingle's rank for each doubling of its slot's count
 EXTRA = 10  # a set posts n // EXTRA more shingles than a prefix filter needs, so that it can count them
 LONG = 1 << 16  # lists that may be longer are spread over tasks
 _SHORT = np.uint64(0x5DEECE66D1F2A3B7)
+SMALL = 1 << 16  # edges that one task joins by itself
+FEW = 0.2  # a hub round that saves less of the work than this is the last one
 _SEEN = 1 << 16  # sets remembered by a task to leave out its repeats; forgetting costs time only
 
 
@@ -154,19 +157,20 @@ def _shared(batches):
 
 
 def _overlaps(batches):
-    """Rows (hub, salt, role, id, text) sorted so that a hub's own text comes first -> (hub, id, overlap)."""
+    """Rows (hub, salt, role, id, text) sorted so that a hub's own text comes first -> (hub, id, hub_n, n, overlap)."""
     key, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         hubs, salts, roles, ids = (batch.column(i).to_numpy() for i in range(4))
         overlap = np.full(len(ids), -1, np.int64)
+        size, hub_size = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for lo, _, data, offs in chunks(batch.column(4)):
             for i, s in enumerate(shingle_sets(data, offs), lo):
                 if roles[i] == 0:
                     key, own = (hubs[i], salts[i]), s
                 elif key == (hubs[i], salts[i]):
-                    overlap[i] = _common(own, s)
+                    overlap[i], size[i], hub_size[i] = _common(own, s), len(s), len(own)
         at = overlap >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (hubs, ids, overlap)], ["hub", "id", "overlap"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (hubs, ids, hub_size, size, overlap)], ["hub", "id", "hub_n", "n", "overlap"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -188,13 +192,14 @@ def _among(rows: DataFrame, col: str, ids: DataFrame, bits: int = 21) -> DataFra
 
 
 def compare(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame:
-    """(hub, id, overlap) of the written pairs (hub, id), from (id, text). A hub with many partners is spread."""
-    count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(count, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / per_task) + 1).cast("int").alias("salt"))
-    hubs = pairs.select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("id")).distinct()
-    asked = pairs.select("hub", "salt", F.lit(1).alias("role"), "id").unionByName(hubs)
+    """(hub, id, hub_n, n, overlap) of the written pairs (hub, id), from (id, text). A hub with many partners is spread."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("hub"))
+    pairs = pairs.select("hub", "id", count.alias("_n")).withColumn("salt", F.pmod(F.xxhash64("id"), F.floor(F.col("_n") / per_task) + 1).cast("int"))
+    pairs = pairs.withColumn("_first", F.row_number().over(Window.partitionBy("hub", "salt").orderBy("id")) == 1)
+    own, other = F.struct(F.lit(0).alias("role"), F.col("hub").alias("id")), F.struct(F.lit(1).alias("role"), F.col("id"))
+    asked = pairs.select("hub", "salt", F.explode(F.when(F.col("_first"), F.array(own, other)).otherwise(F.array(other))).alias("_e")).select("hub", "salt", "_e.*")
     rows = asked.join(texts, "id").select("hub", "salt", "role", "id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return rows.mapInArrow(_overlaps, "hub long, id long, overlap long")
+    return rows.mapInArrow(_overlaps, "hub long, id long, hub_n long, n long, overlap long")
 
 
 def linked(overlap, n1, n2):
@@ -207,10 +212,47 @@ def needed(n1: str, n2: str) -> str:
     return "least(" + ", ".join(f"ceil(3 * ({n1} + {n2}) / 7) - {n} + {n} div 4 + 1" for n in (n1, n2)) + ")"
 
 
+def _joined(batches, most: int = 1 << 20):
+    """(a, b): each vertex of the edges (a, b), with the smallest that it reaches; by itself for every ``most`` edges or so."""
+    held, n = [], 0
+
+    def forest():
+        ids, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        low = np.arange(len(ids))
+        while (low[a] != low[b]).any():
+            least = np.minimum(low[a], low[b])
+            np.minimum.at(low, low[a], least)
+            np.minimum.at(low, low[b], least)
+            while (low[low] != low).any():
+                low = low[low]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], ["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy() for i in range(2)]))
+        n += batch.num_rows
+        if n >= most:
+            yield forest()
+            n = 0
+    if n:
+        yield forest()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, comp) of each vertex of edges (a, b): the smallest id it reaches. Neighbours' minima, then a jump, until nothing changes."""
-    both = edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct()
+    """(id, comp) of each vertex of the written edges (a, b): the smallest id it reaches.
+
+    Each task joins its own edges first. What is left is joined by one task, if it is at most ``SMALL`` edges;
+    otherwise by neighbours' minima, then a jump, until nothing changes.
+    """
+    edges = scratch.put(edges.mapInArrow(_joined, "a long, b long").where("a <> b"), "edges")
+    if edges.count() <= SMALL:
+        labels = scratch.put(edges.coalesce(1).mapInArrow(_joined, "a long, b long").toDF("id", "comp"), "labels")
+        scratch.drop(edges)
+        return labels
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct()
     both = scratch.put(both, "ends")
+    scratch.drop(edges)
     labels = scratch.put(both.groupBy("id").agg(F.min("other").alias("comp")).select("id", F.least("id", "comp").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "comp"), "other").groupBy("id").agg(F.min("comp").alias("near"))
@@ -224,23 +266,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def _merged(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """comps (id, comp), with the components that edges (a, b) join as one."""
-    of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
-    labels = components(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), scratch)
-    return scratch.put(comps.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("_new")), "comp", "left").select("id", F.coalesce("_new", "comp").alias("comp")), "comps")
+def _merged(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp, was): comps (id, comp), with the components that links (a, b) join as one, and the component before."""
+    edges = links.unionByName(comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+    labels = components(edges, scratch).select("id", F.col("comp").alias("_new"))
+    return scratch.put(comps.select("id", F.col("comp").alias("was")).join(labels, "id", "left").select("id", F.coalesce("_new", "id").alias("comp"), "was"), "comps")
 
 
-def _sample(lists: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """A quarter of the lists, and the postings of short sets, with the sets' components."""
-    return lists.where(F.expr(f"n < 64 or pmod(xxhash64(token, {turn}), 4) = 0")).join(comps, "id")
+def _sample(lists: DataFrame, turn: int) -> DataFrame:
+    """A quarter of the lists, and the postings of short sets."""
+    return lists.where(F.expr(f"n < 64 or pmod(xxhash64(token, {turn}), 4) = 0"))
 
 
-def _work(lists: DataFrame) -> tuple[int, int]:
-    """How many pairs of sets of different components the lists hold, and how many postings there are."""
-    of = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    found = of.agg(F.sum(F.expr("(n * n - same) div 2")), F.sum("n")).first()
-    return found[0] or 0, found[1] or 0
+def _work(lists: DataFrame) -> tuple[int, int, int]:
+    """How many pairs of sets of different components the lists hold, how many before the last round, and how many postings there are."""
+    of = lists.select("token", "comp", "was").repartition("token", "comp").groupBy("token", "comp", "was").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("token", "comp").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("was"))
+    of = of.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("was").alias("was"))
+    found = of.agg(F.sum(F.expr("(n * n - same) div 2")), F.sum(F.expr("(n * n - was) div 2")), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0, found[2] or 0
 
 
 def _hub_pairs(lists: DataFrame, compared: DataFrame | None, turn: int, hubs: int = 4) -> DataFrame:
@@ -301,20 +345,18 @@ def _block_pairs(lists: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("y", "z"), ("z", "y"), ("ny", "nz"), ("nz", "ny"))]).distinct()
 
 
-def _derive(pairs: DataFrame, compared: DataFrame, sizes: DataFrame) -> DataFrame:
+def _derive(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     """(y, z, sure, never) of the pairs (y, z) not yet compared: whether a hub's answers show that they link, or never do."""
     known = _both(compared)
-    near = compared.join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    near = near.groupBy(F.col("id").alias("y")).agg(F.max_by(F.struct("hub", "hub_n", "overlap"), F.struct(F.col("overlap") / F.col("hub_n"), "hub")).alias("h")).select("y", F.col("h.hub").alias("x"), F.col("h.hub_n").alias("nx"), F.col("h.overlap").alias("xy"))
+    near = compared.groupBy(F.col("id").alias("y")).agg(F.max_by(F.struct("hub", "hub_n", "overlap"), F.struct(F.col("overlap") / F.col("hub_n"), "hub")).alias("h")).select("y", F.col("h.hub").alias("x"), F.col("h.hub_n").alias("nx"), F.col("h.overlap").alias("xy"))
     pairs = pairs.join(known.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_anti")
     pairs = pairs.join(near, "y", "left").join(known.groupBy(F.col("a").alias("x"), F.col("b").alias("z")).agg(F.max("overlap").alias("xz")), ["x", "z"], "left")
     least, most = F.col("xz") - (F.col("nx") - F.col("xy")), F.col("xz") + (F.col("ny") - F.col("xy"))
     return pairs.select("y", "z", F.coalesce(linked(least, F.col("ny"), F.col("nz")), F.lit(False)).alias("sure"), F.coalesce(~linked(most, F.col("ny"), F.col("nz")), F.lit(False)).alias("never"))
 
 
-def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
-    found = compared.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
-    return found.where(linked(F.col("overlap"), F.col("n"), F.col("n_hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where(linked(F.col("overlap"), F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _ranks(scanned: DataFrame) -> tuple[np.ndarray, int]:
@@ -354,34 +396,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0 and id is not null").groupBy("set", "n").agg(F.min(F.struct("id", "key")).alias("least"))
     used = kept.select("set", "n").distinct().join(classes, ["set", "n"])
     used = scratch.put(used.select(F.monotonically_increasing_id().alias("id"), "set", "n", F.col("least.id").alias("least"), F.col("least.key").alias("key")), "used")
-    sizes = used.select("id", "n")
     lists = scratch.put(kept.join(used, ["set", "n"]).select("token", "id", "n", "rest", "cap"), "lists")
     scratch.drop(kept)
     asked = _among(source.select(F.col("id").alias("least"), "key", "text"), "least", used.select(F.col("least").alias("id"))).groupBy("least", "key").agg(F.first("text").alias("text"))
     texts = scratch.put(asked.join(used, ["least", "key"]).select("id", "text"), "texts")
 
-    comps, compared, before = sizes.select("id", F.col("id").alias("comp")), None, None
+    comps, compared = used.select("id", F.col("id").alias("comp")), None
+    now = lists.withColumns({"comp": F.col("id"), "was": F.col("id")})
     for turn in range(rounds):
-        sample = _sample(lists, comps, turn)
+        sample = _sample(now, turn)
         if turn:
-            work, postings = _work(sample)
-            if work <= 4 * postings or turn > 2 and work > 0.8 * before:
+            work, before, postings = _work(sample)
+            if work <= 4 * postings or turn > 1 and work > (1 - FEW) * before:
                 break
-            before = work
         pairs = scratch.put(_hub_pairs(sample, compared, turn), "hubs")
         more = scratch.put(compare(pairs, texts), "overlaps")
         compared = more if compared is None else compared.unionByName(more)
-        comps = _merged(comps, _links(more, sizes), scratch)
-    lists = scratch.put(lists.drop("cap").join(comps, "id"), "lists")
-    near = _block_skips(lists)
-    pairs = scratch.put(_derive(_block_pairs(lists, near), compared, sizes), "pairs")
+        comps = _merged(comps, _links(more), scratch)
+        scratch.drop(now)
+        now = scratch.put(lists.join(comps, "id"), "lists")
+    near = _block_skips(now)
+    pairs = scratch.put(_derive(_block_pairs(now, near), compared), "pairs")
     open_pairs = pairs.where("not sure and not never").select(F.col("y").alias("hub"), F.col("z").alias("id"))
     more = scratch.put(compare(open_pairs, texts), "overlaps")
     sure = pairs.where("sure").select(F.col("y").alias("a"), F.col("z").alias("b"))
-    comps = _merged(comps, _links(more, sizes).unionByName(sure), scratch)
+    comps = _merged(comps, _links(more).unionByName(sure), scratch)
 
     # A component's name is the smallest id of its classes; a class that shares too little is one by itself.
-    named = comps.join(used, "id").groupBy("comp").agg(F.min("least").alias("name")).join(comps, "comp").join(used.select("id", "set", "n"), "id").select("set", "n", "name")
+    members = comps.join(used, "id").select("comp", "set", "n", "least")
+    named = members.join(members.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("set", "n", "name")
     of_class = scratch.put(classes.join(named, ["set", "n"], "left").select("set", "n", F.coalesce("name", F.col("least.id")).alias("name")), "names")
     scratch.keep(scanned, of_class)
     out = rows.join(of_class, ["set", "n"], "left")

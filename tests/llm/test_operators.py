@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -190,6 +191,45 @@ def test_jaccard_join_whole_table(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_hub_rounds_end_when_they_save_nothing(spark, monkeypatch):
+    """Unlike documents made of shared passages: no hub answers for another, so a third round would be idle."""
+    passages = [prose(50 + k, 10) for k in range(12)]
+    rows = [(i, " ".join(passages[k] for k in chosen)) for i, chosen in enumerate(list(itertools.combinations(range(12), 6))[::7])]
+    rows += [(1000 + i, t) for i, t in rows[:5]]
+    turns, pairs = [], jaccard_join._hub_pairs
+    monkeypatch.setattr(jaccard_join, "_hub_pairs", lambda lists, compared, turn: turns.append(turn) or pairs(lists, compared, turn))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert turns == [0, 1]
+    assert got == brute_components(rows)
+
+
+def test_components_of_few_edges_take_few_tables(spark, monkeypatch):
+    """A chain, a star and a ring: few edges are joined by one task, many in rounds, with equal results."""
+    rng = np.random.default_rng(3)
+    name = rng.permutation(400)
+    edges = [(k, k + 1) for k in range(100)] + [(150, k) for k in range(151, 250)] + [(300 + k, 300 + (k + 1) % 50) for k in range(50)] + [(390, 390)]
+    edges = [(int(name[a]), int(name[b])) for a, b in edges]
+    want = {int(name[k]): int(name[lo:hi].min()) for lo, hi in ((0, 101), (150, 250), (300, 350)) for k in range(lo, hi)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3).cache()
+    puts, put = [], jaccard_join.Scratch.put
+    monkeypatch.setattr(jaccard_join.Scratch, "put", lambda self, rows, name: puts.append(name) or put(self, rows, name))
+    got = jaccard_join.components(df, jaccard_join.Scratch(spark, "test")).collect()
+    assert {r["id"]: r["comp"] for r in got} == want and len(got) == len(want)
+    assert len(puts) == 2
+    monkeypatch.setattr(jaccard_join, "SMALL", 0)
+    got = jaccard_join.components(df, jaccard_join.Scratch(spark, "test")).collect()
+    assert {r["id"]: r["comp"] for r in got} == want and len(got) == len(want)
+
+
+def test_edges_are_joined_in_pieces():
+    import pyarrow as pa
+
+    edges = np.random.default_rng(4).integers(0, 60, (2, 40))
+    batches = [pa.RecordBatch.from_arrays([pa.array(e) for e in edges[:, i : i + 5]], ["a", "b"]) for i in range(0, 40, 5)]
+    whole = lambda rows: sorted((r["a"], r["b"]) for b in rows for r in b.to_pylist())
+    assert whole(jaccard_join._joined(jaccard_join._joined(iter(batches), 10))) == whole(jaccard_join._joined(iter(batches)))
+
+
 def test_quality_counts(docs, empty):
     def brute(t):
         t, w = t or "", words(t)
